@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, token_counts, warc_zip
+from . import media_flac, mixing, packing, quality, secrets, token_counts, warc_zip
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir, "doc_id", "text", "lang", "source", "n_chars"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_flac.read_back(media_flac.encoded(_docs(spark, sf_dir, "doc_id", "text")))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = secrets.scan(_docs(spark, sf_dir, "doc_id", "text"))
+    counts = [secrets.counted(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = F.sha2(secrets.joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256")
+    return x.select("doc_id", *counts, base, secrets.joined(F.col("all_spans")).alias("spans"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir, "text"), extra=1)
 
@@ -37,7 +48,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_mixing, op7_token_counts, op9_quality_rules, op10_warc)
+    f.__name__: f for f in (op2_packing, op3_mixing, op4_media, op5_secrets, op7_token_counts, op9_quality_rules, op10_warc)
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -61,6 +72,44 @@ SELECT doc_id, text, lang, source, n_chars, c::INT AS mix_copy,
 FROM drawn, unnest(generate_series(1, n)) AS g(c)
 """
 
+_ANY = "[A-Za-z0-9+/_=-]"
+_NOT_ALLOWED = " OR ".join([f"regexp_matches(hit, '{secrets.UUID}')", *(f"contains(lower(hit), '{p}')" for p in secrets.PLACEHOLDERS)])
+
+
+def _places(name: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    ex = lambda g: f"regexp_extract_all(text, '(?s)(.*?)({quoted})', {g})"
+    return f"""{name} AS (
+  SELECT r, i, list_sum([length(g) for g in gaps[1:i]])::BIGINT + coalesce(list_sum([length(h) for h in hits[1:i - 1]]), 0)::BIGINT AS start, hits[i] AS hit, vals[i] AS val
+  FROM (SELECT r, {ex(1)} AS gaps, {ex(2)} AS hits, {ex(3)} AS vals FROM d), unnest(generate_series(1, len(gaps))) AS s(i))"""
+
+
+#: Entropy by definition: each window's characters are counted anew.
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{_places("assign", secrets.ASSIGN)},
+{_places("access", secrets.ACCESS)},
+{_places("hex", secrets.HEX)},
+{_places("anys", secrets.CANDIDATE)},
+cand AS (SELECT * FROM anys WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({_NOT_ALLOWED})),
+wins AS (SELECT r, i, start, k, substr(hit, k, {secrets.WINDOW}) AS w, CASE WHEN regexp_full_match(hit, '[0-9a-f]+') THEN {secrets.ceiling(secrets.LIMITS["hex"], secrets.WINDOW)} ELSE {secrets.ceiling(secrets.LIMITS["any"], secrets.WINDOW)} END AS top
+  FROM cand, unnest(generate_series(1, length(hit) - {secrets.WINDOW - 1})) AS s(k)),
+chars AS (SELECT r, i, start, k, top, c, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS c FROM wins) GROUP BY ALL),
+above AS (SELECT r, i, start, k FROM chars GROUP BY r, i, start, k, top HAVING sum(round(n * log2(n) * 1e6)) <= top),
+runs AS (SELECT *, sum(CASE WHEN prev IS NULL OR k > prev + {secrets.WINDOW} THEN 1 ELSE 0 END) OVER (PARTITION BY r, i ORDER BY k) AS g
+  FROM (SELECT *, lag(k) OVER (PARTITION BY r, i ORDER BY k) AS prev FROM above)),
+spans AS (
+  SELECT r, 0 AS no, 'assign' AS kind, start, start + length(hit) AS e FROM assign WHERE length(val) >= 12
+  UNION ALL SELECT r, 1, 'access', start, start + length(hit) FROM access
+  UNION ALL SELECT r, 2, 'hex', start, start + length(hit) FROM hex
+  UNION ALL SELECT r, 3, 'entropy', start + min(k) - 1, start + max(k) - 1 + {secrets.WINDOW} FROM runs GROUP BY r, i, g, start),
+agg AS (SELECT r, count(*) FILTER (no = 0) AS a, count(*) FILTER (no = 1) AS b, count(*) FILTER (no = 2) AS c,
+  string_agg(kind || ':' || start || ':' || e, ',' ORDER BY start, no, e) FILTER (no < 3) AS base,
+  string_agg(kind || ':' || start || ':' || e, ',' ORDER BY start, no, e) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (r)
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -95,4 +144,4 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM hex
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_secrets": OP5_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}
