@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_flac, mixing, packing, quality, secrets, token_counts, warc_zip
+from . import media_flac, mixing, ngram_join, packing, quality, secrets, token_counts, warc_zip
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *counts, base, secrets.joined(F.col("all_spans")).alias("spans"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir, "text"), extra=1)
 
@@ -48,7 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_mixing, op4_media, op5_secrets, op7_token_counts, op9_quality_rules, op10_warc)
+    f.__name__: f for f in (op2_packing, op3_mixing, op4_media, op5_secrets, op6_ngram_join, op7_token_counts, op9_quality_rules, op10_warc)
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -110,6 +114,17 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (r)
 """
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, unnest(g) AS x FROM s), n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, any_value(n.n) AS n_shingles, min(b) AS component_id FROM reach JOIN n ON n.doc_id = a GROUP BY a
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -144,4 +159,4 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM hex
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_secrets": OP5_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_secrets": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}

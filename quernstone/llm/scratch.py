@@ -24,12 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again. Its files stay until forget() or the folder's own cleaning."""
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again. Its files stay until forget() or the folder's own cleaning.
+    large: the step shuffled much, so its shuffle files are let go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(spark)
+    if large:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
