@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_flac, mixing, ngram_join, packing, quality, secrets, token_counts, warc_zip
+from . import media_flac, mixing, ngram_join, packing, phrase_dedup, quality, secrets, token_counts, warc_zip
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_docs(spark, sf_dir, "text"), extra=1)
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup.remove_repeats(_docs(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.with_verdict(_docs(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_line_words")
@@ -52,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_mixing, op4_media, op5_secrets, op6_ngram_join, op7_token_counts, op9_quality_rules, op10_warc)
+    f.__name__: f for f in (op2_packing, op3_mixing, op4_media, op5_secrets, op6_ngram_join, op7_token_counts, op8_phrase_dedup, op9_quality_rules, op10_warc)
 }
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -125,6 +130,17 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reac
 SELECT a AS doc_id, any_value(n.n) AS n_shingles, min(b) AS component_id FROM reach JOIN n ON n.doc_id = a GROUP BY a
 """
 
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(generate_series(1, len(w) - 49)) AS g(i)),
+o AS (SELECT h, min(doc_id) AS owner FROM s GROUP BY h),
+p AS (SELECT DISTINCT s.doc_id, s.i + k AS spot FROM s JOIN o USING (h), unnest(generate_series(0, 49)) AS g(k) WHERE o.owner < s.doc_id),
+gone AS (SELECT doc_id, list(spot) AS a FROM p GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(a), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN a IS NULL THEN w ELSE [x for x, i in w if NOT list_contains(a, i)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -159,4 +175,4 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM hex
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_secrets": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op5_secrets": OP5_SQL, "op6_ngram_join": OP6_SQL, "op8_phrase_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_warc": OP10_SQL}
