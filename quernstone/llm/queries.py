@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media_flac, mixing, ngram_join, packing, phrase_dedup, quality, secrets, token_counts, warc_zip
+from . import lm_scoring, media_flac, mixing, ngram_join, packing, phrase_dedup, quality, secrets, token_counts, warc_zip
 
 
 def _docs(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cols)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_docs(spark, sf_dir, "doc_id", "text"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir, "doc_id", "text"))
 
@@ -57,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op3_mixing, op4_media, op5_secrets, op6_ngram_join, op7_token_counts, op8_phrase_dedup, op9_quality_rules, op10_warc)
+    f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_mixing, op4_media, op5_secrets, op6_ngram_join, op7_token_counts, op8_phrase_dedup, op9_quality_rules, op10_warc)
 }
 
 _WS = r"[\x20\x09-\x0D]+"
