@@ -41,26 +41,26 @@ CANDIDATE = "([A-Za-z0-9+/_=-]{%d,})" % WINDOW
 _SPAN = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
 
-def _found(text: Column, pattern: str) -> dict[str, Column]:
-    p = F.lit(r"(?s)\G(.*?)(" + pattern + ")")
-    gaps = F.regexp_extract_all(text, p, F.lit(1))
-    return {"gap": gaps, "hit": F.regexp_extract_all(text, p, F.lit(2)), "value": F.regexp_extract_all(text, p, F.lit(3))}
-
-
-def _placed(df: DataFrame, name: str, pattern: str, likely: Column) -> DataFrame:
-    """Adds name: (start, hit, value) of each match, in order; `likely` is a cheap test that every text with a match passes."""
-    found, none = _found(F.col("s_text"), pattern), F.array().cast("array<string>")
-    for part in ("gap", "hit", "value"):
-        sure = likely if part == "gap" else F.size(f"{name}_gap") > 0
-        df = df.withColumn(f"{name}_{part}", F.when(sure, found[part]).otherwise(none))
-    size = F.transform(f"{name}_gap", lambda g, i: F.struct(F.length(g).alias("g"), F.length(F.get(F.col(f"{name}_hit"), i)).alias("h")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
-    places = F.aggregate(
-        size, start, lambda a, s: F.struct((a["at"] + s["g"] + s["h"]).alias("at"), F.concat(a["all"], F.array(a["at"] + s["g"])).alias("all"))
-    )["all"]
-    df = df.withColumn(f"{name}_at", places)
-    zipped = F.transform(f"{name}_at", lambda p, i: F.struct(p.alias("start"), F.get(F.col(f"{name}_hit"), i).alias("hit"), F.get(F.col(f"{name}_value"), i).alias("value")))
-    return df.withColumn(name, zipped).drop(f"{name}_gap", f"{name}_hit", f"{name}_value", f"{name}_at")
+def _placed(df: DataFrame, name: str, pattern: str, likely: Column, with_value: bool = False) -> DataFrame:
+    """Adds name: (start, hit, value) of each match, in order; `likely` is a cheap test that every text with a match passes.
+
+    The arrays are zipped before any lambda reads them: the optimizer may move a column that a lambda names into the lambda, and
+    a pattern would then run once for each match.
+    """
+    p, none = F.lit(r"(?s)\G(.*?)(" + pattern + ")"), F.array().cast("array<string>")
+    part = lambda sure, g: F.when(sure, F.regexp_extract_all(F.col("s_text"), p, F.lit(g))).otherwise(none)
+    df = df.withColumn(f"{name}_gap", part(likely, 1))
+    some = F.size(f"{name}_gap") > 0
+    zipped = F.arrays_zip(F.col(f"{name}_gap").alias("gap"), part(some, 2).alias("hit"), part(some & F.lit(with_value), 3).alias("value"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,hit:string,value:string>>").alias("all"))
+
+    def step(a: Column, z: Column) -> Column:
+        begin = a["at"] + F.length(z["0"])
+        one = F.struct(begin.alias("start"), z["1"].alias("hit"), z["2"].alias("value"))
+        return F.struct((begin + F.length(z["1"])).alias("at"), F.concat(a["all"], F.array(one)).alias("all"))
+
+    plain = F.transform(zipped, lambda z: F.struct(z["gap"].alias("0"), z["hit"].alias("1"), z["value"].alias("2")))
+    return df.withColumn(name, F.aggregate(plain, start, step, lambda a: a["all"])).drop(f"{name}_gap")
 
 
 def _span(start: Column, end: Column, kind: str, no: int) -> Column:
@@ -121,14 +121,15 @@ def scan(df: DataFrame, text_col: str = "text", placeholders: list[str] | None =
     placeholders, limits = PLACEHOLDERS if placeholders is None else placeholders, limits or LIMITS
     text = F.col("s_text")
     x = df.withColumn("s_text", F.coalesce(F.col(text_col), F.lit("")))
-    x = _placed(x, "s_assign", ASSIGN, text.rlike("(?:" + "|".join(either(w) for w in ("pass", "secret", "token", "api")) + ")"))
+    x = _placed(x, "s_assign", ASSIGN, text.rlike("(?:" + "|".join(either(w) for w in ("pass", "secret", "token", "api")) + ")"), with_value=True)
     x = _placed(x, "s_access", ACCESS, text.contains("AKIA"))
     x = _placed(x, "s_hex", HEX, text.rlike("[0-9a-f]{16}"))
     x = _placed(x, "s_any", CANDIDATE, text.rlike("[A-Za-z0-9+/_=-]{%d}" % WINDOW))
     good = F.filter("s_any", lambda c: c["hit"].rlike("[0-9]") & c["hit"].rlike("[A-Za-z]") & ~allowed(c["hit"], placeholders))
     x = x.withColumn("s_any", good)
     top = lambda c: F.when(c["hit"].rlike("^[0-9a-f]+$"), F.lit(ceiling(limits["hex"], WINDOW))).otherwise(F.lit(ceiling(limits["any"], WINDOW)))
-    x = x.withColumn("s_any", F.transform("s_any", lambda c: F.struct(c["start"].alias("start"), entropy_runs(c["hit"], top(c)).alias("runs"))))
+    topped = F.transform("s_any", lambda c: F.struct(c["start"].alias("start"), c["hit"].alias("hit"), top(c).alias("top")))
+    x = x.withColumn("s_any", F.transform(topped, lambda c: F.struct(c["start"].alias("start"), entropy_runs(c["hit"], c["top"]).alias("runs"))))
     end = lambda c: c["start"] + F.length(c["hit"])
     base = F.concat(
         F.transform(F.filter("s_assign", lambda c: F.length(c["value"]) >= 12), lambda c: _span(c["start"], end(c), "assign", 0)),
