@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import association
+from . import association, evaluation
 
-_MODULES = [association]
+_MODULES = [association, evaluation]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
