@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import association, evaluation
+from . import association, documents, evaluation
 
-_MODULES = [association, evaluation]
+_MODULES = [association, evaluation, documents]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
