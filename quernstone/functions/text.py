@@ -6,6 +6,7 @@ White space is Unicode's throughout (Java's \\s and Spark's trim know ASCII only
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,7 +65,8 @@ def mix_keywords(x: Column) -> Column:
 
 
 def any_term(x: Column, terms: list[str]) -> Column:
-    return F.coalesce(F.size(found_terms(x, terms)) > 0, F.lit(False))
+    """Without a lambda, since x may hold a Python function."""
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(x, F.lit(term)) for term in terms]), F.lit(False))
 
 
 def merged(values: Column) -> Column:
@@ -133,7 +135,7 @@ def explicit_mix(sentence: Column, a: Column, b: Column) -> Column:
     joins = ["と", "に", "を"]
     verbs = r".{0,12}(?:ミックス|組み合わせ|ブレンド|合わせ|混ぜ|加え|入れ)"
     phrases = [F.concat(q(x), F.lit(j + ".{0,12}"), q(y), F.lit(verbs)) for j in joins for x, y in both]
-    hits = [F.nullif(F.regexp_extract(sentence, p, F.lit(0)), F.lit("")) for p in signs + phrases]
+    hits = [F.nullif(F.call_function("regexp_extract", sentence, p, F.lit(0)), F.lit("")) for p in signs + phrases]
     return F.when(F.contains(sentence, a) & F.contains(sentence, b), F.coalesce(*hits))
 
 
