@@ -5,7 +5,9 @@ goes; windows are judged on the input.
 
 1. Candidates: of each window, the smallest hash among its (span / 2)-word n-grams is its anchor. Equal windows have equal anchors, so a
    window can recur only if its anchor does. Anchors are few (about 1 in 13 words) and summed within tasks.
-2. Confirmation: windows with a recurring anchor, by the hash of all their words, keep the smallest id that has them.
+2. Confirmation: windows with a recurring anchor, by the hash of all their words, keep the smallest id that has them. Which anchors recur
+   is told by a broadcast bitmap of fixed size while it is sparse (what it lets through by chance doesn't recur and falls
+   out here), and beyond that by a shuffle of anchors and texts.
 3. Location: documents are dealt into shards of bounded size. Of a shard's recurring passages, pieces of span / 2 words are compiled
    into an automaton over word numbers; all of the shard's documents stream through it, and the windows around each
    occurrence are looked up among the confirmed ones. Any window of a passage holds one whole piece, so none is missed.
@@ -18,6 +20,7 @@ neither loses words nor costs others any; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -32,6 +35,8 @@ from . import hashing
 from .scratch import forget, written
 
 SHARD_BYTES = 6 << 20
+#: Bits of the bitmap (16 MB), and recurring anchors up to which it is used.
+BITS, SPARSE = 1 << 27, 16_000_000
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -84,8 +89,47 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy() for n in names]
 
 
-def recurring_windows(docs: DataFrame, hits: DataFrame, span: int) -> DataFrame:
-    """(window, doc_id) of windows whose anchor recurs. docs: (shard, doc_id, text); hits: (shard, anchor)."""
+def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
+    """As with_shard has it."""
+    one, at = np.unique(ids, return_inverse=True)
+    return np.array([zlib.crc32(b"%d" % i) % shards for i in one.tolist()], np.int32)[at] if len(ids) else np.empty(0, np.int32)
+
+
+def _summed(windows: list, owners: list, shards: int) -> dict[str, np.ndarray]:
+    """One row for each window and shard: the smallest and the largest id that has it."""
+    w, d = (np.concatenate(c) if c else np.empty(0, t) for c, t in ((windows, np.uint64), (owners, np.int64)))
+    shard = shard_of(d, shards)
+    order = np.lexsort((d, shard, w))
+    w, d, shard = w[order], d[order], shard[order]
+    first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (shard[1:] != shard[:-1])])) if len(w) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(w)) - 1 if len(w) else first
+    return {"window": w[first].view(np.int64), "shard": shard[first], "lo": d[first], "hi": d[last]}
+
+
+_WINDOWS = "window long, shard int, lo long, hi long"
+
+
+def windows_by_bitmap(df: DataFrame, bitmap, span: int, shards: int) -> DataFrame:
+    """Windows whose anchor's bit is set, summed within each batch. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for batch in batches:
+            ids, windows, owners = batch.column(0).to_numpy(zero_copy_only=False), [], []
+            for a, _, w in hashing.chunks(batch.column(1), lower=False):
+                x = Windows(w, span)
+                at = np.flatnonzero(x.ok)
+                spot = x.anchor[at] % np.uint64(BITS)
+                at = at[(bits[spot >> np.uint64(6)] >> (spot & np.uint64(63))) & np.uint64(1) > 0]
+                windows.append(w.grams(span)[0][at])
+                owners.append(ids[a + x.doc[at]])
+            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in _summed(windows, owners, shards).items()})
+
+    return df.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, _WINDOWS)
+
+
+def windows_by_shuffle(docs: DataFrame, hits: DataFrame, span: int, shards: int) -> DataFrame:
+    """The same, where documents meet their recurring anchors by shard. docs: (shard, doc_id, text); hits: (shard, anchor)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         known = np.unique(_columns(right, "anchor")[0].view(np.uint64)) if right.num_rows else np.empty(0, np.uint64)
@@ -96,13 +140,33 @@ def recurring_windows(docs: DataFrame, hits: DataFrame, span: int) -> DataFrame:
             x = Windows(w, span)
             at = np.flatnonzero(x.ok & valid[a + x.doc])
             at = at[_members(x.anchor[at], known)[0]]
-            if len(at):
-                windows.append(w.grams(span)[0][at])
-                owners.append(ids[a + x.doc[at]])
-        cols = [np.concatenate(c) if c else np.empty(0, t) for c, t in ((windows, np.uint64), (owners, np.int64))]
-        return pa.table({"window": pa.array(cols[0].view(np.int64)), "doc_id": pa.array(cols[1])})
+            windows.append(w.grams(span)[0][at])
+            owners.append(ids[a + x.doc[at]])
+        return pa.table({k: pa.array(v) for k, v in _summed(windows, owners, shards).items()})
 
-    return docs.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(run, "window long, doc_id long")
+    return docs.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(run, _WINDOWS)
+
+
+def confirmed_windows(windows: DataFrame) -> DataFrame:
+    """(shard, window, owner) for each shard that has the window in a document after its owner, the smallest id of all.
+
+    Equal windows meet once, sorted; they stream through in runs, of which only the owner is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, least = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, shard, lo, hi = (batch.column(i).to_numpy() for i in range(4))
+            first = np.concatenate([[True], w[1:] != w[:-1]])
+            owner = lo[np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))]  # rows of a window are sorted by lo
+            if w[0] == current:
+                owner[w == current] = least
+            current, least = w[-1], owner[-1]
+            late = hi > owner
+            yield pa.RecordBatch.from_arrays([pa.array(shard[late]), pa.array(w[late]), pa.array(owner[late])], names=["shard", "window", "owner"])
+
+    return windows.repartition("window").sortWithinPartitions("window", "lo").mapInArrow(run, "shard int, window long, owner long")
 
 
 def phrases(first: np.ndarray, ok: np.ndarray, span: int) -> Iterator[tuple[int, int]]:
@@ -187,18 +251,35 @@ def _covered(w: hashing.Words, number: np.ndarray, automaton, vocabulary, window
     return np.cumsum(mark)[:n] > 0
 
 
+def bitmap_of(often: DataFrame) -> np.ndarray:
+    """BITS bits; the driver gets at most one row for each of their BITS / 64 words."""
+    spot = F.pmod(F.col("anchor"), F.lit(BITS))
+    words = often.select(F.shiftright(spot, 6).alias("word"), F.pmod(spot, F.lit(64)).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def with_shard(df: DataFrame, shards: int) -> DataFrame:
+    """Adds shard, by the id; rows without one go by their text."""
+    name = F.col("doc_id").cast("string")
+    name = F.coalesce(name, F.md5("text"), F.lit("")) if "text" in df.columns else name
+    return df.withColumn("shard", (F.crc32(name.cast("binary")) % shards).cast("int"))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text), a row for each row of df."""
     docs = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(size) // shard_bytes))
-    shard = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")
-    dealt = docs.select(F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).otherwise(shard()).alias("shard"), "doc_id", "text")
-    rows = written(anchors(docs, span), "anchors")
-    often = rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    hits = rows.join(often, "anchor", "left_semi").select(shard(), "anchor")
-    windows = written(recurring_windows(dealt, hits, span), "windows", large=True)
-    forget(rows)
-    owner = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("window", "owner")
-    needed = windows.join(owner, "window").filter("doc_id > owner").select(shard(), "window", "owner")
-    return located(dealt, needed.distinct(), span)
+    dealt = with_shard(docs, shards)
+    often = written(anchors(docs, span).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor"), "anchors", large=True)
+    if often.count() <= SPARSE:
+        windows = windows_by_bitmap(docs, df.sparkSession.sparkContext.broadcast(bitmap_of(often)), span, shards)
+    else:
+        rows = anchors(docs, span).join(often, "anchor", "left_semi")
+        windows = windows_by_shuffle(dealt, with_shard(rows, shards).select("shard", "anchor"), span, shards)
+    found = written(confirmed_windows(windows), "windows", large=True)
+    forget(often)
+    return located(dealt, found.distinct(), span)

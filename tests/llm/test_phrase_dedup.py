@@ -65,3 +65,11 @@ def test_every_window_of_a_passage_holds_a_piece():
             pieces = list(pd.phrases(first, first, span))
             assert all(any(s >= a and e <= a + span for s, e in pieces) for a in range(7, 7 + n))
             assert all(7 <= s and e <= 7 + n + span - 1 for s, e in pieces)
+
+
+def test_the_shuffled_way_gives_the_same(spark, monkeypatch):
+    docs = corpus(10, 5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(pd, "SPARSE", -1)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in pd.remove_repeats(df, span=10, shard_bytes=9000).collect()}
+    assert got == brute(docs, 10)
