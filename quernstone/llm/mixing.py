@@ -76,11 +76,12 @@ def replicate(df: DataFrame, table: DataFrame, id_col: str = "doc_id", source_co
         left = df.withColumn("mix_salt", F.pmod(F.xxhash64(df[id_col].cast("string")), F.lit(SALTS)).cast("int"))
         x = left.join(salted, left[source_col].eqNullSafe(salted["mix_source"]) & (left["mix_salt"] == salted["mix_salt"]))
         x = x.select(*[left[c] for c in names], "rate", "parts", "cdf")
-    draw = lambda j: F.size(F.filter(F.col("cdf"), lambda c: c < uniform(F.lit(seed), x[id_col], j)))
-    one = uniform(F.lit(seed), x[id_col], F.lit(1))
-    x = x.withColumn("mix_u", one).withColumn(
+    draw = lambda j: F.get(F.transform(F.array(uniform(F.lit(seed), x[id_col], j)), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c < u))), F.lit(0))
+    # The number is bound as a lambda's argument: named as a column, it would be hashed again for each entry of the table.
+    one = F.transform(F.array(uniform(F.lit(seed), x[id_col], F.lit(1))), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c < u)))
+    x = x.withColumn(
         "mix_n",
-        F.when(F.col("parts") == 1, F.size(F.filter("cdf", lambda c: c < F.col("mix_u")))).otherwise(
+        F.when(F.col("parts") == 1, F.get(one, F.lit(0))).otherwise(
             F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + draw(j))
         ),
     )
