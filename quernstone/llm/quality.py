@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 WS = r"[\x20\x09-\x0D]+"
 #: Furniture lines up to which they are broadcast (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_LINES = 200_000
@@ -117,3 +119,15 @@ def with_verdict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base.withColumn("n_left", F.col("n_words") - F.col("n_line_words")).drop("q_text", "q_words", "q_lines")
     depleted = (F.col("n_left") < min_words) | (F.col("n_left") < min_left * F.col("n_words"))
     return base.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept"]
+
+
+def kept_documents(df: DataFrame, **options) -> DataFrame:
+    """The rows of df that pass, with its columns. The judged table is written and reread: a filter over the projections
+    would be moved below them, where each name is replaced by its whole expression again and again."""
+    names = [c for c in df.columns if c not in RESULTS]
+    own = df.withColumnsRenamed({c: f"own_{c}" for c in df.columns if c in RESULTS})
+    judged = written(with_verdict(own, **options), "judged")
+    return judged.filter("kept").select(*[F.col(c if c in names else f"own_{c}").alias(c) for c in df.columns])
