@@ -129,5 +129,5 @@ def kept_documents(df: DataFrame, **options) -> DataFrame:
     would be moved below them, where each name is replaced by its whole expression again and again."""
     names = [c for c in df.columns if c not in RESULTS]
     own = df.withColumnsRenamed({c: f"own_{c}" for c in df.columns if c in RESULTS})
-    judged = written(with_verdict(own, **options), "judged")
+    judged = written(with_verdict(own, **options).select(*own.columns, *RESULTS), "judged")
     return judged.filter("kept").select(*[F.col(c if c in names else f"own_{c}").alias(c) for c in df.columns])
