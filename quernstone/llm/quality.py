@@ -4,9 +4,8 @@ Base rules look at one document (too few words, or too many words in repeated 5-
 hashes normalised lines, counts the distinct texts of a host that hold each, takes lines above the host's limit off every
 document, and rejects a document that is depleted by it.
 
-A host's limit is the larger of `min_texts` and `share` of its texts. Only lines of at most `line_chars` characters count as
-page furniture; longer shared passages are left to de-duplication, and exact copies count as one text, so copies
-of a clean document don't turn its lines into furniture. A document is depleted if under `min_words` words
+A host's limit is the larger of `min_texts` and `share` of its texts. Lines of any length count, and exact copies count as one text, so
+copies of a clean document don't turn its lines into furniture; near copies do so only beyond the limit. A document is depleted if under `min_words` words
 or under `min_left` of its words are left.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; repeated rows get the same
@@ -72,42 +71,41 @@ def with_base_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def text_lines(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """(host, text hash, line hash) of each short line, once per row."""
+    """(host, text hash, line hash) of each line, once per row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(F.col(host_col).alias("q_host"), F.xxhash64(text).alias("q_copy"), lines_with_words(text).alias("q_lines"))
 
 
-def furniture(df: DataFrame, text_col: str = "text", host_col: str = "source", share: float = 0.005, min_texts: int = 10, line_chars: int = 200) -> DataFrame:
+def furniture(df: DataFrame, text_col: str = "text", host_col: str = "source", share: float = 0.005, min_texts: int = 10) -> DataFrame:
     """(host, line hash) of the lines above their host's limit.
 
     (host, line, text) is made distinct and then counted; both steps sum within tasks first, and the key of a host that
     holds a third of the rows is spread by its lines.
     """
     x = text_lines(df, text_col, host_col)
-    short = F.filter(F.transform("q_lines", normalised), lambda y: F.length(y) <= line_chars)
-    rows = x.select("q_host", "q_copy", F.explode(F.array_distinct(F.transform(short, lambda y: F.xxhash64(y)))).alias("q_line")).distinct()
+    rows = x.select("q_host", "q_copy", F.explode(F.array_distinct(F.transform("q_lines", lambda y: F.xxhash64(normalised(y))))).alias("q_line")).distinct()
     found = rows.groupBy("q_host", "q_line").agg(F.count("*").alias("n")).filter(F.col("n") > min_texts)
     hosts = x.select("q_host", "q_copy").distinct().groupBy("q_host").agg(F.count("*").alias("texts"))
     over = found.join(hosts, found["q_host"].eqNullSafe(hosts["q_host"])).filter(F.col("n") > F.col("texts") * share)
     return over.select(found["q_host"], "q_line")
 
 
-def with_verdict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.005, min_texts: int = 10, line_chars: int = 200, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
+def with_verdict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.005, min_texts: int = 10, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
     """Adds the base rules' columns, n_line_words (words in furniture lines), n_left and kept."""
-    bad = furniture(df, text_col, host_col, share, min_texts, line_chars)
+    bad = furniture(df, text_col, host_col, share, min_texts)
     base = with_base_rules(df, text_col)
     if bad.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         by_host = bad.groupBy("q_host").agg(F.collect_set("q_line").alias("q_bad"))
         base = base.join(F.broadcast(by_host.withColumnRenamed("q_host", "q_of")), F.col(host_col).eqNullSafe(F.col("q_of")), "left").drop("q_of")
-        hit = lambda y: (F.length(normalised(y)) <= line_chars) & F.coalesce(F.array_contains(F.col("q_bad"), F.xxhash64(normalised(y))), F.lit(False))
+        hit = lambda y: F.coalesce(F.array_contains(F.col("q_bad"), F.xxhash64(normalised(y))), F.lit(False))
         gone = F.when(F.col("q_bad").isNull(), F.lit(0)).otherwise(
             F.aggregate("q_lines", F.lit(0), lambda a, y: a + F.when(hit(y), F.size(words(y))).otherwise(F.lit(0)))
         )
         base = base.withColumn("n_line_words", gone.cast("long")).drop("q_bad")
     else:
-        short = F.filter(F.transform("q_lines", lambda y: F.struct(normalised(y).alias("y"), F.size(words(y)).alias("w"))), lambda s: F.length(s["y"]) <= line_chars)
-        rows = base.select(F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.xxhash64("q_text").alias("q_copy"), F.explode(short).alias("s"))
-        rows = rows.select("q_id", "q_host", "q_copy", F.xxhash64("s.y").alias("q_line"), "s.w")
+        pairs = F.transform("q_lines", lambda y: F.struct(F.xxhash64(normalised(y)).alias("y"), F.size(words(y)).alias("w")))
+        rows = base.select(F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.xxhash64("q_text").alias("q_copy"), F.explode(pairs).alias("s"))
+        rows = rows.select("q_id", "q_host", "q_copy", F.col("s.y").alias("q_line"), "s.w")
         hits = rows.join(bad, rows["q_host"].eqNullSafe(bad["q_host"]) & (rows["q_line"] == bad["q_line"]), "left_semi")
         rowed = base.select(F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.xxhash64("q_text").alias("q_copy"))
         same = rowed.groupBy("q_id", "q_host", "q_copy").agg(F.count("*").alias("q_rows"))
