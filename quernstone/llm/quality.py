@@ -91,41 +91,38 @@ def furniture(df: DataFrame, text_col: str = "text", host_col: str = "source", s
 
 
 def with_verdict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.005, min_texts: int = 10, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
-    """Adds the base rules' columns, n_line_words (words in furniture lines), n_left and kept."""
+    """Adds the base rules' columns, n_line_words (words in furniture lines), left_text (the text without those lines), n_left and kept."""
     bad = furniture(df, text_col, host_col, share, min_texts)
     base = with_base_rules(df, text_col)
     if bad.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         by_host = bad.groupBy("q_host").agg(F.collect_set("q_line").alias("q_bad"))
         base = base.join(F.broadcast(by_host.withColumnRenamed("q_host", "q_of")), F.col(host_col).eqNullSafe(F.col("q_of")), "left").drop("q_of")
-        hit = lambda y: F.coalesce(F.array_contains(F.col("q_bad"), F.xxhash64(normalised(y))), F.lit(False))
-        gone = F.when(F.col("q_bad").isNull(), F.lit(0)).otherwise(
-            F.aggregate("q_lines", F.lit(0), lambda a, y: a + F.when(hit(y), F.size(words(y))).otherwise(F.lit(0)))
-        )
-        base = base.withColumn("n_line_words", gone.cast("long")).drop("q_bad")
     else:
-        pairs = F.transform("q_lines", lambda y: F.struct(F.xxhash64(normalised(y)).alias("y"), F.size(words(y)).alias("w")))
-        rows = base.select(F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.xxhash64("q_text").alias("q_copy"), F.explode(pairs).alias("s"))
-        rows = rows.select("q_id", "q_host", "q_copy", F.col("s.y").alias("q_line"), "s.w")
-        hits = rows.join(bad, rows["q_host"].eqNullSafe(bad["q_host"]) & (rows["q_line"] == bad["q_line"]), "left_semi")
-        rowed = base.select(F.col(id_col).alias("q_id"), F.col(host_col).alias("q_host"), F.xxhash64("q_text").alias("q_copy"))
-        same = rowed.groupBy("q_id", "q_host", "q_copy").agg(F.count("*").alias("q_rows"))
-        sums = hits.groupBy("q_id", "q_host", "q_copy").agg(F.sum("w").alias("q_sum"))
-        joined = sums.join(same, sums["q_id"].eqNullSafe(same["q_id"]) & sums["q_host"].eqNullSafe(same["q_host"]) & (sums["q_copy"] == same["q_copy"]))
-        per = joined.select(sums["q_id"].alias("q_i"), sums["q_host"].alias("q_h"), sums["q_copy"].alias("q_c"), (F.col("q_sum") / F.col("q_rows")).alias("q_gone"))
-        base = base.join(per, F.col(id_col).eqNullSafe(F.col("q_i")) & F.col(host_col).eqNullSafe(F.col("q_h")) & (F.xxhash64("q_text") == F.col("q_c")), "left")
-        base = base.withColumn("n_line_words", F.coalesce("q_gone", F.lit(0)).cast("long")).drop("q_i", "q_h", "q_c", "q_gone")
+        hashes = F.array_distinct(F.transform("q_lines", lambda y: F.xxhash64(normalised(y))))
+        rows = base.select(F.col(id_col).alias("q_i"), F.col(host_col).alias("q_h"), F.xxhash64("q_text").alias("q_c"), F.explode(hashes).alias("q_line"))
+        hits = rows.join(bad, rows["q_h"].eqNullSafe(bad["q_host"]) & (rows["q_line"] == bad["q_line"]), "left_semi")
+        per = hits.groupBy("q_i", "q_h", "q_c").agg(F.collect_set("q_line").alias("q_bad"))
+        base = base.join(per, F.col(id_col).eqNullSafe(F.col("q_i")) & F.col(host_col).eqNullSafe(F.col("q_h")) & (F.xxhash64("q_text") == F.col("q_c")), "left").drop("q_i", "q_h", "q_c")
+    hit = lambda y: F.coalesce(F.array_contains(F.col("q_bad"), F.xxhash64(normalised(y))), F.lit(False))
+    gone = F.when(F.col("q_bad").isNull(), F.lit(0)).otherwise(F.aggregate("q_lines", F.lit(0), lambda a, y: a + F.when(hit(y), F.size(words(y))).otherwise(F.lit(0))))
+    base = base.withColumn("n_line_words", gone.cast("long"))
+    rest = F.array_join(F.filter(F.split("q_text", "\n"), lambda y: ~hit(y)), "\n")
+    base = base.withColumn("left_text", F.when(F.col("n_line_words") > 0, rest).otherwise(F.col(text_col))).drop("q_bad")
     base = base.withColumn("n_left", F.col("n_words") - F.col("n_line_words")).drop("q_text", "q_words", "q_lines")
     depleted = (F.col("n_left") < min_words) | (F.col("n_left") < min_left * F.col("n_words"))
     return base.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept"]
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "left_text", "n_left", "kept"]
 
 
-def kept_documents(df: DataFrame, **options) -> DataFrame:
-    """The rows of df that pass, with its columns. The judged table is written and reread: a filter over the projections
-    would be moved below them, where each name is replaced by its whole expression again and again."""
-    names = [c for c in df.columns if c not in RESULTS]
-    own = df.withColumnsRenamed({c: f"own_{c}" for c in df.columns if c in RESULTS})
-    judged = written(with_verdict(own, **options).select(*own.columns, *RESULTS), "judged")
-    return judged.filter("kept").select(*[F.col(c if c in names else f"own_{c}").alias(c) for c in df.columns])
+def kept_documents(df: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The rows of df that pass, with its columns; furniture lines are taken off their texts, and chars_col, where there is one, follows.
+    The judged table is written and reread: a filter over the projections would be moved below them, where each name is replaced by
+    its whole expression again and again."""
+    own = {c: f"own_{c}" if c in RESULTS else c for c in df.columns}
+    out = with_verdict(df.withColumnsRenamed({c: o for c, o in own.items() if o != c}), text_col=own[text_col], **options)
+    chars = F.when(F.col("n_line_words") > 0, F.length("left_text")).otherwise(F.col(own[chars_col])) if chars_col in own else None
+    new = {text_col: F.col("left_text"), chars_col: chars}
+    judged = written(out.select(*[(new[c].cast(df.schema[c].dataType) if c in new else F.col(o)).alias(o) for c, o in own.items()], F.col("kept").alias("q_kept")), "judged")
+    return judged.filter("q_kept").select(*[F.col(o).alias(c) for c, o in own.items()])

@@ -27,3 +27,13 @@ def test_long_lines_are_counted_and_deplete(spark, either_way):
 def test_at_the_limit_long_lines_stay(spark, either_way):
     docs = [f"{LONG}\n{OWN.format(i)}" for i in range(10)]
     assert all(r.kept and r.n_line_words == 0 for r in quality.with_verdict(frame(spark, docs).drop("kept")).collect())
+
+
+def test_lines_above_the_limit_are_taken_off_the_texts(spark, either_way):
+    """Long and short ones, each time they occur; all else, blank lines too, stays."""
+    body = lambda i: "\n".join(" ".join(f"w{i}x{k}x{j}" for j in range(12)) for k in range(6))
+    docs = [f"  ALL rights\treserved\n\n{body(i)}\n{LONG}\nAll  Rights reserved\n" for i in range(11)] + ["All rights\n" + body(99) + "\n", None]
+    got = quality.kept_documents(frame(spark, docs))
+    want = {i: f"\n{body(i)}\n" for i in range(11)} | {11: docs[11]}
+    assert got.columns == ["doc_id", "text", "source", "n_chars", "kept"]
+    assert {r.doc_id: (r.text, r.n_chars, r.kept) for r in got.collect()} == {i: (t, len(t) if i < 11 else 7, "own") for i, t in want.items()}
