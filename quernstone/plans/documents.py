@@ -54,10 +54,29 @@ def template_hits(spark, sf):
 
 
 def contamination_hits(spark, sf):
-    """Benchmark openings found in documents, with their surroundings; the phrase list is the benchmark, of bounded size."""
-    b = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("phrase"))
-    x = table(spark, sf, "documents").select("doc_id", "text").crossJoin(F.broadcast(b.limit(10_000))).filter(F.contains("text", "phrase"))
-    return x.select("doc_id", "item_id", t.snippet(F.col("text"), F.col("phrase"), 20).alias("context"))
+    """Benchmark openings found in documents, with their surroundings. An opening's words but its first and last, which may be parts of
+    a document's words, are whole words wherever it is found: up to four of them are the key by which documents and items meet, and
+    `contains` is the check. Openings of at most two words have no such key; they alone are compared with every document."""
+    ws = r"[\x20\x09-\x0D]"
+    split = lambda c: F.filter(F.split(c, ws + "+"), lambda w: w != "")
+    cut = lambda x, at, less: F.slice(x, F.lit(at), F.greatest(F.size(x) - less, F.lit(0)))
+    b = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("phrase")).filter("phrase is not null").withColumn("w", split("phrase"))
+    b = b.withColumn("w", F.when(F.col("phrase").rlike(rf"\A{ws}"), F.col("w")).otherwise(cut(F.col("w"), 2, 1)))
+    b = b.withColumn("w", F.slice(F.when(F.col("phrase").rlike(rf"{ws}\z"), F.col("w")).otherwise(cut(F.col("w"), 1, 1)), 1, 4))
+    b = b.select("item_id", "phrase", F.size("w").alias("k"), F.xxhash64(F.array_join("w", " ")).alias("key"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", split("text").alias("w"))
+    found = docs.crossJoin(b.filter("k = 0").select("item_id", "phrase"))
+    sizes = sorted(r["k"] for r in b.select("k").distinct().collect())  # 0 to 4
+    if 0 not in sizes:
+        found = found.limit(0)
+    for k in filter(None, sizes):
+        items = b.filter(F.col("k") == k)
+        grams = F.transform(cut(F.col("w"), 1, k - 1), lambda w, i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, F.lit(k)), " ")))  # noqa: B023
+        meet = words.select(F.col("doc_id").alias("of"), F.explode(F.array_distinct(grams)).alias("key")).join(items.select("key"), "key", "left_semi").distinct()
+        meet = meet.join(items, "key").select("of", "item_id", "phrase")
+        found = found.unionByName(docs.join(meet, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "item_id", "phrase"))
+    return found.filter(F.contains("text", "phrase")).select("doc_id", "item_id", t.snippet(F.col("text"), F.col("phrase"), 20).alias("context"))
 
 
 def phrase_hits(spark, sf):
