@@ -1,50 +1,5 @@
-"""Intermediate tables in the folder all executors share (spark.checkpoint.dir).
+"""The library's intermediate tables, under the name that this subpackage's modules use."""
 
-A lost executor's rows are reread from there instead of being computed again through a long lineage.
-"""
+from ..scratch import forget, release, shared_dir, written
 
-from __future__ import annotations
-
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local folder only where none is set, as in tests."""
-    sc = spark.sparkContext
-    path = spark.conf.get(KEY, None) or sc.getConf().get(KEY) or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quernstone-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
-    """df, written to the shared folder and read again. Its files stay until forget() or the folder's own cleaning.
-    large: the step shuffled much, so its shuffle files are let go at once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if large:
-        release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps, which otherwise wait for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def forget(*frames: DataFrame) -> None:
-    """Deletes the tables that written() made of these frames."""
-    for df in frames:
-        spark = df.sparkSession
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/quernstone/" in f}:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["forget", "release", "shared_dir", "written"]
