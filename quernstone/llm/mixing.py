@@ -6,8 +6,9 @@ that count, and the copies are dealt out and sorted by a hash of (seed, doc_id,
 The draw needs no state: any task, also one that runs again, gives the same copies.
 
 Defined results: a null source is a source of its own; null or empty texts have size 0, and a source of size 0 keeps the
-rate 1; repeated rows draw the same count and keys; an empty table gives no rows; a null id draws as the text 'null';
-all columns are kept. Means over `part` are split into independent draws, since exp(-mean) would vanish.
+rate 1; repeated rows draw the same count and keys; an empty table gives no rows; a row without an id draws by its text's hash;
+all columns are kept, those that begin like the operator's own (mix_) under names that begin with own_. Means over `part` are split
+into independent draws, since exp(-mean) would vanish.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import shielded
+from .scratch import written
+
 #: Sources up to which their rates are broadcast (about 1 KB each); beyond it they are joined by a salted shuffle.
 BROADCAST_SOURCES = 10_000
 SALTS = 32
@@ -37,7 +41,7 @@ def sizes(df: DataFrame, source_col: str = "source", text_col: str = "text") ->
 
 
 def rates(size: DataFrame, weights: dict | None = None, temperature: float = 0.5, budget: float = 1.0) -> DataFrame:
-    """(source, rate). weights: target share by source, those left out get none; None: size ** temperature, made to sum to 1.
+    """(mix_source, mix_rate). weights: target share by source, those left out get none; None: size ** temperature, made to sum to 1.
     budget: the mixture's expected size, as a multiple of the corpus."""
     if weights is None:
         w = F.pow(F.col("size").cast("double"), F.lit(temperature))
@@ -48,12 +52,12 @@ def rates(size: DataFrame, weights: dict | None = None, temperature: float = 0.5
     x = size.withColumn("weight", w)
     total = x.agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("all_weight"))
     rate = F.lit(budget) * F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")
-    return x.crossJoin(F.broadcast(total)).select("mix_source", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
+    return x.crossJoin(F.broadcast(total)).select("mix_source", F.when(F.col("size") > 0, rate).otherwise(F.lit(1.0)).alias("mix_rate"))
 
 
 def poisson_table(rate: DataFrame, part: float = 200.0) -> DataFrame:
-    """Adds parts (draws to add up) and cdf (of one part's mean, until what is left is under 2 ** -53 of it)."""
-    mean = F.col("rate") / F.col("parts")
+    """Adds mix_parts (draws to add up) and mix_cdf (of one part's mean, until what is left is under 2 ** -53 of it)."""
+    mean = F.col("mix_rate") / F.col("mix_parts")
     last = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
     start = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array(F.exp(-mean)).alias("cdf"))
 
@@ -61,47 +65,52 @@ def poisson_table(rate: DataFrame, part: float = 200.0) -> DataFrame:
         p = acc["p"] * F.col("mean") / k
         return F.struct(p.alias("p"), (acc["c"] + p).alias("c"), F.concat(acc["cdf"], F.array(acc["c"] + p)).alias("cdf"))
 
-    x = rate.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / part).cast("int"))).withColumn("mean", mean).withColumn("last", last)
+    x = rate.withColumn("mix_parts", F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / part).cast("int"))).withColumn("mean", mean).withColumn("last", last)
     cdf = F.aggregate(F.sequence(F.lit(1), F.col("last")), start, step)["cdf"]
-    return x.select("mix_source", "rate", "parts", cdf.alias("cdf"))
+    return x.select("mix_source", "mix_rate", "mix_parts", cdf.alias("mix_cdf"))
+
+
+def draw_name(id_col: Column, text: Column) -> Column:
+    """What a row draws by: its id, else its text."""
+    return F.coalesce(id_col.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def replicate(df: DataFrame, table: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 17) -> DataFrame:
+def replicate(df: DataFrame, table: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
     """Each row as often as its draw says, with mix_copy (from 1) and mix_key."""
     names = df.columns
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         x = df.join(F.broadcast(table), df[source_col].eqNullSafe(table["mix_source"]))
     else:
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = df.withColumn("mix_salt", F.pmod(F.xxhash64(df[id_col].cast("string")), F.lit(SALTS)).cast("int"))
+        left = df.withColumn("mix_salt", F.pmod(F.xxhash64(draw_name(df[id_col], df[text_col])), F.lit(SALTS)).cast("int"))
         x = left.join(salted, left[source_col].eqNullSafe(salted["mix_source"]) & (left["mix_salt"] == salted["mix_salt"]))
-        x = x.select(*[left[c] for c in names], "rate", "parts", "cdf")
-    draw = lambda j: F.get(F.transform(F.array(uniform(F.lit(seed), x[id_col], j)), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c < u))), F.lit(0))
+        x = x.select(*[left[c] for c in names], "mix_rate", "mix_parts", "mix_cdf")
+    name = draw_name(F.col(id_col), F.col(text_col))
+    draw = lambda j: F.get(F.transform(F.array(uniform(F.lit(seed), name, j)), lambda u: F.size(F.filter(F.col("mix_cdf"), lambda c: c < u))), F.lit(0))
     # The number is bound as a lambda's argument: named as a column, it would be hashed again for each entry of the table.
-    one = F.transform(F.array(uniform(F.lit(seed), x[id_col], F.lit(1))), lambda u: F.size(F.filter(F.col("cdf"), lambda c: c < u)))
+    one = F.transform(F.array(uniform(F.lit(seed), name, F.lit(1))), lambda u: F.size(F.filter(F.col("mix_cdf"), lambda c: c < u)))
     x = x.withColumn(
         "mix_n",
-        F.when(F.col("parts") == 1, F.get(one, F.lit(0))).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + draw(j))
+        F.when(F.col("mix_parts") == 1, F.get(one, F.lit(0))).otherwise(
+            F.aggregate(F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda acc, j: acc + draw(j))
         ),
     )
     copies = F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy")
-    x = x.filter("mix_n > 0").select(*[df[c] for c in names], copies)
-    return x.withColumn("mix_key", shuffle_key(F.lit(seed), F.lit("order"), F.col(id_col), F.col("mix_copy")))
+    x = x.filter("mix_n > 0").select(*names, copies)
+    return x.withColumn("mix_key", shuffle_key(F.lit(seed), F.lit("order"), draw_name(F.col(id_col), F.col(text_col)), F.col("mix_copy")))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict | None = None, temperature: float = 0.5, budget: float = 1.0, seed: int = 17) -> DataFrame:
-    """The mixture, shuffled globally: dealt out and sorted by mix_key, whose order is a random one over all copies."""
-    clash = [c for c in df.columns if c.startswith("mix_")]
-    inner = df.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    table = poisson_table(rates(sizes(df, source_col, text_col), weights, temperature, budget))
-    out = replicate(inner, table, id_col, source_col, seed)
-    out = out.repartition("mix_key").sortWithinPartitions("mix_key")
-    return out
+    """The mixture, shuffled globally: mix_key is uniform over 60 bits, so its range is cut into equal stretches, a partition each, and
+    sorted within them. The order of all rows is that of mix_key."""
+    inner, _ = shielded(df, "mix_", id_col, source_col, text_col)
+    size = written(sizes(inner, source_col, text_col), "sizes")  # the texts are read once for it
+    out = replicate(inner, written(poisson_table(rates(size, weights, temperature, budget)), "rates"), id_col, source_col, text_col, seed)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(n, F.floor(F.col("mix_key") / float(1 << 60) * n).cast("int")).sortWithinPartitions("mix_key")
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The mixture with the columns of df alone."""
-    out = mix(df, **options)
-    own = {c: (f"_own_{c}" if c.startswith("mix_") else c) for c in df.columns}
-    return out.select(*[F.col(v).alias(k) for k, v in own.items()])
+    back = shielded(df, "mix_", *[options.get(k, v) for k, v in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text"))])[1]
+    return mix(df, **options).drop("mix_copy", "mix_key").withColumnsRenamed(back).select(*df.columns)
