@@ -9,7 +9,7 @@ copies of a clean document don't turn its lines into furniture; near copies do s
 or under `min_left` of its words are left.
 
 Defined results: a null or empty text has no words and fails; a null host is a host of its own; repeated rows get the same
-answer each; an empty table gives no rows; other columns stay.
+answer each; an empty table gives no rows; other columns stay, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import shielded
 from .scratch import written
 
 WS = r"[\x20\x09-\x0D]+"
@@ -92,7 +93,8 @@ def furniture(df: DataFrame, text_col: str = "text", host_col: str = "source", s
 
 def with_verdict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.005, min_texts: int = 10, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
     """Adds the base rules' columns, n_line_words (words in furniture lines), left_text (the text without those lines), n_left and kept."""
-    bad = furniture(df, text_col, host_col, share, min_texts)
+    df, back = shielded(df, "q_", id_col, text_col, host_col)
+    bad = written(furniture(df, text_col, host_col, share, min_texts), "furniture")
     base = with_base_rules(df, text_col)
     if bad.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
         by_host = bad.groupBy("q_host").agg(F.collect_set("q_line").alias("q_bad"))
@@ -110,7 +112,7 @@ def with_verdict(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = base.withColumn("left_text", F.when(F.col("n_line_words") > 0, rest).otherwise(F.col(text_col))).drop("q_bad")
     base = base.withColumn("n_left", F.col("n_words") - F.col("n_line_words")).drop("q_text", "q_words", "q_lines")
     depleted = (F.col("n_left") < min_words) | (F.col("n_left") < min_left * F.col("n_words"))
-    return base.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return base.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumnsRenamed(back)
 
 
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "left_text", "n_left", "kept"]

@@ -20,6 +20,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import shielded
+
 WINDOW = 20
 #: Entropy limits by character class of the whole candidate: lower-case hexadecimal, or any.
 LIMITS = {"hex": 3.0, "any": 3.5}
@@ -119,6 +121,7 @@ def allowed(value: Column, placeholders: list[str]) -> Column:
 def scan(df: DataFrame, text_col: str = "text", placeholders: list[str] | None = None, limits: dict[str, float] | None = None) -> DataFrame:
     """Adds base_spans and all_spans, arrays of (start, kind_no, end, kind) in order."""
     placeholders, limits = PLACEHOLDERS if placeholders is None else placeholders, limits or LIMITS
+    df, back = shielded(df, "s_", text_col)
     text = F.col("s_text")
     x = df.withColumn("s_text", F.coalesce(F.col(text_col), F.lit("")))
     x = _placed(x, "s_assign", ASSIGN, text.rlike("(?:" + "|".join(either(w) for w in ("pass", "secret", "token", "api")) + ")"), with_value=True)
@@ -139,7 +142,7 @@ def scan(df: DataFrame, text_col: str = "text", placeholders: list[str] | None =
     more = F.flatten(F.transform("s_any", lambda c: F.transform(c["runs"], lambda r: _span(c["start"] + r["first"], c["start"] + r["end"], "entropy", 3)))).cast(_SPAN)
     x = x.withColumn("base_spans", F.array_sort(base))
     x = x.withColumn("all_spans", F.array_sort(F.concat("base_spans", more)))
-    return x.drop("s_text", "s_assign", "s_access", "s_hex", "s_any")
+    return x.drop("s_text", "s_assign", "s_access", "s_hex", "s_any").withColumnsRenamed(back)
 
 
 def joined(spans: Column) -> Column:

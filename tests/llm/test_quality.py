@@ -37,3 +37,14 @@ def test_lines_above_the_limit_are_taken_off_the_texts(spark, either_way):
     want = {i: f"\n{body(i)}\n" for i in range(11)} | {11: docs[11]}
     assert got.columns == ["doc_id", "text", "source", "n_chars", "kept"]
     assert {r.doc_id: (r.text, r.n_chars, r.kept) for r in got.collect()} == {i: (t, len(t) if i < 11 else 7, "own") for i, t in want.items()}
+
+
+def test_nulls_empty_tables_repeated_rows_and_clashing_names(spark, either_way):
+    docs = [None, "", "one two", f"{LONG}\n{OWN.format(1)}", f"{LONG}\n{OWN.format(1)}", "many " * 40, " ".join(f"v{i}" for i in range(30_000))]
+    df = frame(spark, docs).withColumn("source", quality.F.when(quality.F.col("doc_id") < 3, "host")).withColumns({"q_words": quality.F.lit("mine"), "Q_text": quality.F.lit(3)})
+    out = quality.with_verdict(df)
+    assert set(df.columns) <= set(out.columns)
+    rows = {r.doc_id: r for r in out.collect()}
+    assert [rows[i].n_words for i in range(7)] == [0, 0, 2, *[len(docs[3].split())] * 2, 40, 30_000] and {(r.q_words, r.Q_text) for r in rows.values()} == {("mine", 3)}
+    assert [rows[i].kept for i in range(7)] == [False, False, False, True, True, False, True]
+    assert quality.kept_documents(df).columns == df.columns and quality.with_verdict(df.limit(0)).count() == 0
