@@ -6,7 +6,8 @@ where a field overflows, parses the central directory, locates the members by th
 index and then reads single records by range.
 
 Defined results: a null payload is empty; repeated rows are written one by one, and of equal page ids with equal
-payloads all are the response; null ids sort last and are kept; an empty table gives no archives; other columns are ignored.
+payloads all are the response; where one id has several payloads, each record follows its own payload; null ids are kept, as responses; an
+empty table gives no archives; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def read_archive(read: Callable[[int, int], bytes], size: int) -> Iterator[tuple
 
 
 def with_responses(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """(page_id, refers_to): of equal payloads of min_bytes or more, the smallest id; null for that page itself.
+    """(page_id, same, refers_to): of equal payloads (same: their digest) of min_bytes or more, the smallest id, for the larger ones.
 
     Only ids and digests are shuffled. The smallest id of a payload is found with partial sums, so a payload that a
     third of the pages share is one row for each task.
@@ -194,14 +195,14 @@ def with_responses(pages: DataFrame, id_col: str, payload_col: str, min_bytes: i
     keyed = pages.select(pages[id_col].cast("long").alias("page_id"), F.sha2(body, 256).alias("same"), F.octet_length(body).alias("n"))
     keyed = keyed.filter((F.col("n") >= min_bytes) & F.col("page_id").isNotNull())
     first = keyed.groupBy("same").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last")
-    return keyed.join(first, "same").filter("page_id > first").select("page_id", F.col("first").alias("refers_to")).distinct()
+    return keyed.join(first, "same").filter("page_id > first").select("page_id", "same", F.col("first").alias("refers_to")).distinct()
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, archive_bytes: int = 4 << 20) -> DataFrame:
     """(archive binary, n_records): archives of about archive_bytes of payload, as many as a task's rows fill."""
     refers = with_responses(pages, id_col, payload_col, min_revisit_bytes)
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[payload_col].alias("html"))
-    rows = rows.join(refers, "page_id", "left")
+    rows = rows.withColumn("same", F.sha2(F.coalesce("html", F.lit("")), 256)).join(refers, ["page_id", "same"], "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
