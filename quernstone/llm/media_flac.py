@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import written
+
 BLOCK = 192
 RATE = 8000
 SEEK_FRAMES = 64
@@ -419,6 +421,11 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The media column, written to the shared folder and read from there."""
+    return written(encoded(df, id_col, text_col), "media")
+
+
 def read_back(media: DataFrame) -> DataFrame:
     """What the stored streams decode to: digests of payload and media, and the feature."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -432,24 +439,32 @@ def read_back(media: DataFrame) -> DataFrame:
                 raw = part.column(2).to_pylist()
                 rows = []
                 for doc, n, m, pcm in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), raw, decode(raw), strict=True):
-                    back = (pcm.view(np.uint8) ^ 0x80).tobytes()
-                    rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature(pcm)))
+                    whole, tail, size = hashlib.sha256(), b"", 0
+                    for _, block in blocks(pcm):
+                        back = (block.view(np.uint8) ^ 0x80).tobytes()
+                        whole.update(back)
+                        tail, size = (tail + back)[-16:], size + len(back)
+                    rows.append((doc, n, size, whole.hexdigest(), zlib.crc32(tail), len(m), hashlib.sha256(m).hexdigest(), feature(pcm)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
+def blocks(pcm: np.ndarray, frames: int = SEEK_FRAMES) -> Iterator[tuple[int, np.ndarray]]:
+    """(sample offset, samples) of stretches of `frames` frames."""
+    for at in range(0, len(pcm), frames * BLOCK):
+        yield at, pcm[at : at + frames * BLOCK]
+
+
 def pcm_blocks(media: DataFrame, frames: int = SEEK_FRAMES) -> DataFrame:
     """(doc_id, block, sample_offset, n_samples, pcm): decoded blocks of `frames` frames that can be sought by sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = frames * BLOCK
         for batch in batches:
             for doc, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pcm = decode([m])[0]
-                at = list(range(0, len(pcm), step))
-                cols = [pa.array([doc] * len(at), pa.int64()), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.int64()), pa.array([min(step, len(pcm) - i) for i in at], pa.int64()), pa.array([pcm[i : i + step].tobytes() for i in at], pa.binary())]
+                at, parts = zip(*blocks(decode([m])[0], frames), strict=True)
+                cols = [pa.array([doc] * len(at), pa.int64()), pa.array(range(len(at)), pa.int64()), pa.array(at, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples long, pcm binary")
