@@ -282,4 +282,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         windows = windows_by_shuffle(dealt, with_shard(rows, shards).select("shard", "anchor"), span, shards)
     found = written(confirmed_windows(windows), "windows", large=True)
     forget(often)
-    return located(dealt, found.distinct(), span)
+    return located(dealt.filter("doc_id is not null"), found.distinct(), span).unionByName(_unchanged(docs.filter("doc_id is null")))
+
+
+def _unchanged(docs: DataFrame) -> DataFrame:
+    """The result's rows for rows without an id, wherever they are: a third of all may lack one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(x.as_buffer().to_pybytes() if x.is_valid else b"").split() for x in batch.column(1)]
+            none = pa.array(np.zeros(len(words), np.int64))
+            cols = [batch.column(0), pa.array([len(w) for w in words], pa.int64()), none, pa.array([b" ".join(w).decode() for w in words], pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -73,3 +73,10 @@ def test_the_shuffled_way_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(pd, "SPARSE", -1)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in pd.remove_repeats(df, span=10, shard_bytes=9000).collect()}
     assert got == brute(docs, 10)
+
+
+def test_rows_without_an_id_pass_through(spark):
+    text = " ".join(f"w{i}" for i in range(120))
+    df = spark.createDataFrame([(1, text), (2, text)] + [(None, text)] * 50 + [(None, None), (None, " a\x0b b ")], "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in pd.remove_repeats(df).collect()))
+    assert got == sorted([(1, 120, 0, text), (2, 120, 120, "")] + [(0, 120, 0, text)] * 50 + [(0, 0, 0, ""), (0, 2, 0, "a b")])
