@@ -27,7 +27,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_flac.read_back(media_flac.encoded(_docs(spark, sf_dir, "doc_id", "text")))
+    return media_flac.read_back(media_flac.stored(_docs(spark, sf_dir, "doc_id", "text")))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +78,10 @@ cdf AS (
 tables AS (SELECT source, any_value(parts) AS parts, list(c ORDER BY k) AS cdf FROM cdf GROUP BY source),
 drawn AS (
   SELECT d.*, list_sum(list_transform(generate_series(1, t.parts), lambda j: len(list_filter(t.cdf, lambda c:
-    c < (('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || j::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE))))::INT AS n
+    c < (('0x' || substr(md5('17:' || coalesce(d.doc_id::VARCHAR, 'null:' || md5(coalesce(d.text, ''))) || ':' || j::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE))))::INT AS n
   FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, text, lang, source, n_chars, c::INT AS mix_copy,
-  ('0x' || substr(md5('17:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || c::VARCHAR), 1, 15))::BIGINT AS mix_key
+  ('0x' || substr(md5('17:order:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || c::VARCHAR), 1, 15))::BIGINT AS mix_key
 FROM drawn, unnest(generate_series(1, n)) AS g(c)
 """
 
@@ -154,11 +154,10 @@ t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n F
 rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS p FROM t, unnest(generate_series(0, 4)) AS s(k)) GROUP BY r),
 ln AS (SELECT r, source, text, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS y,
   len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS nw FROM w, unnest(ls) AS s(l)),
-short AS (SELECT * FROM ln WHERE length(y) <= 200),
 hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-found AS (SELECT source, y, count(DISTINCT text) AS n FROM short GROUP BY source, y),
+found AS (SELECT source, y, count(DISTINCT text) AS n FROM ln GROUP BY source, y),
 bad AS (SELECT f.source, f.y FROM found f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source WHERE f.n > 10 AND f.n > h.texts * 0.005),
-gone AS (SELECT s.r, sum(s.nw) AS n FROM short s JOIN bad b ON s.source IS NOT DISTINCT FROM b.source AND s.y = b.y GROUP BY s.r),
+gone AS (SELECT s.r, sum(s.nw) AS n FROM ln s JOIN bad b ON s.source IS NOT DISTINCT FROM b.source AND s.y = b.y GROUP BY s.r),
 x AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
   coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_line_words
