@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +25,27 @@ def fold(text: str) -> str:
     return "".join(u if len(u := c.upper()) == 1 else c for c in text)
 
 
+#: Per boundary dialect: kinds of characters that may not stand before a name, and characters that may all the same.
+_DIALECTS = {"particles": ({"Lo", "Ll", "Lu", "Nd"}, k.BOUNDARY), "strict": ({"Lo", "Ll", "Lu", "Nd"}, ""), "letters": ({"Lo"}, "")}
+
+
+def automaton(keys) -> ahocorasick.Automaton:
+    """Over the keys; a match is reported with its key."""
+    out = ahocorasick.Automaton()
+    for key in keys:
+        out.add_word(key, key)
+    out.make_automaton()
+    return out
+
+
+def occurrences(machine: ahocorasick.Automaton, text: str):
+    """(start, key) of every occurrence, overlapping ones too, in one pass."""
+    return [(end + 1 - len(key), key) for end, key in machine.iter(text)] if len(machine) else []
+
+
 @dataclass
 class Dictionary:
-    """Patterns and their labels; longer patterns are tried first, equal ones in the order given.
+    """Patterns and their labels; longer patterns win, equal ones in the order given.
 
     boundary: "particles" lets hiragana particles stand beside a name, "strict" doesn't, "letters" only minds kana and kanji before it, and
     "word" wants no letter or digit on either side.
@@ -34,41 +54,43 @@ class Dictionary:
     patterns: list[tuple[str, str]]
     boundary: str = "particles"
     least: int = 3
-    ordered: list[tuple[str, str]] = field(init=False)
+    labels: dict[str, str] = field(init=False)
 
     def __post_init__(self):
-        seen: dict[str, str] = {}
+        self.labels = {}
         for p, label in self.patterns:
             if len(p) >= self.least or not p.isascii():
-                seen.setdefault(fold(p), label)
-        self.ordered = sorted(seen.items(), key=lambda x: -len(x[0]))
-        chars = {p[0] for p, _ in self.ordered}
-        self.quick = re.compile("[" + "".join(map(re.escape, sorted(chars))) + "]") if chars else None
-
-    def blocked(self, text: str, a: int, b: int) -> bool:
-        before, after = text[a - 1] if a else "", text[b] if b < len(text) else ""
-        kind = lambda c: unicodedata.category(c) if c else ""
-        free = k.BOUNDARY if self.boundary == "particles" else ""
+                self.labels.setdefault(fold(p), label)
+        self.rank = {p: i for i, p in enumerate(sorted(self.labels, key=len, reverse=True))}
+
+    @cached_property
+    def machine(self):
+        return automaton(self.labels)
+
+    def __getstate__(self):
+        return {name: v for name, v in vars(self).items() if name != "machine"}  # compiled anew in each worker
+
+    def stands_alone(self, text: str, start: int, end: int) -> bool:
+        """Whether the dialect sees the occurrence as a name of its own."""
+        left, right = text[max(start - 1, 0) : start], text[end : end + 1]
         if self.boundary == "word":
-            return bool((before and before.isalnum()) or (after and after.isalnum()))
-        first_lo = kind(text[a]) == "Lo"
-        left = {"Lo"} if self.boundary == "letters" else {"Lo", "Ll", "Lu", "Nd"}
-        if before and first_lo and kind(before) in left and before not in free:
-            return True
-        return bool(after and kind(after) == "Lo" and kind(text[b - 1]) == "Lo" and after not in free)
+            return not (left.isalnum() or right.isalnum())
+        kinds, free = _DIALECTS[self.boundary]
+        ideographic = lambda c: bool(c) and unicodedata.category(c) == "Lo"
+        held_left = ideographic(text[start]) and bool(left) and unicodedata.category(left) in kinds and left not in free
+        held_right = ideographic(text[end - 1]) and ideographic(right) and right not in free
+        return not (held_left or held_right)
 
     def extract(self, text: str | None) -> list[str]:
-        if not text or not self.quick or not self.quick.search(folded := fold(text)):
+        """Labels of the occurrences that stand alone and overlap no better one: by pattern, then by place."""
+        if not text:
             return []
-        taken, found = bytearray(len(text)), set()
-        for pattern, label in self.ordered:
-            at = folded.find(pattern)
-            while at >= 0:
-                end = at + len(pattern)
-                if not any(taken[at:end]) and not self.blocked(text, at, end):
-                    found.add(label)
-                    taken[at:end] = b"\x01" * (end - at)
-                at = folded.find(pattern, at + 1)
+        hits = [(self.rank[p], a, a + len(p), p) for a, p in occurrences(self.machine, fold(text))]
+        found, covered = set(), bytearray(len(text))
+        for _, a, b, p in sorted(hits):
+            if 1 not in covered[a:b] and self.stands_alone(text, a, b):
+                covered[a:b] = bytes([1]) * (b - a)
+                found.add(self.labels[p])
         return sorted(found)
 
 
@@ -80,6 +102,43 @@ def extractor(d: Dictionary):
     return run
 
 
+def plain_key(text: str | None) -> str:
+    """compare_key() for a single string."""
+    return re.sub(r"[\s\-_/\\|・･.()（）\[\]【】]", "", unicodedata.normalize("NFKC", text or "").lower())
+
+
+def single_name(d: Dictionary, raw: str | None) -> str:
+    """The one name meant by a cell without what is in brackets: of several, the one that the whole cell equals, else the first; blank if none."""
+    cell = re.sub(r"[（(].*?[)）]", "", re.sub(r"\s+", " ", unicodedata.normalize("NFKC", raw or "")).strip()).strip()
+    names = d.extract(cell)
+    return next((n for n in names if plain_key(n) == plain_key(cell)), names[0] if names else "")
+
+
+def name_candidates(raw: str | None, names: list[str]) -> list[str]:
+    """Names whose key holds the cell's key or lies in it: closest in length first, then the shorter, then by name."""
+    key = plain_key(raw)
+    keyed = [(plain_key(n), n) for n in names] if key else []
+    return [n for *_, n in sorted((abs(len(x) - len(key)), len(x), n) for x, n in keyed if x and (key in x or x in key))]
+
+
+def single_names(d: Dictionary):
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: single_name(d, x))
+
+    return run
+
+
+def candidates(names: list[str]):
+    """The names that a cell may mean, best first."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: name_candidates(x, names))
+
+    return run
+
+
 def build_dictionary(catalogue: DataFrame, name_col: str, order_col: str) -> DataFrame:
     """(pattern, canonical, position) of a catalogue: Latin names that one Japanese name alone explains take it; verified
     aliases are added; the first row to claim a pattern keeps it."""
@@ -100,32 +159,48 @@ def build_dictionary(catalogue: DataFrame, name_col: str, order_col: str) -> Dat
 # --- lexicon -----------------------------------------------------------------------------------------------
 
 
-def negated(text: str, start: int, end: int, negations: list[str] = k.NEGATIONS) -> bool:
-    """Eight characters after the term and four before decide."""
-    after, before = text[end : end + 8], text[max(0, start - 4) : start]
-    if any(h in after for h in k.HARD_NEGATIONS) or any(n in after for n in negations):
-        return True
-    around = before + text[start:end] + after
-    return any(p in before for p in k.SOFT_PREFIXES) and any(n in around for n in negations)
+class Matcher:
+    """Groups of terms, all in one automaton with the negations and the terms' negative conjugations."""
+
+    def __init__(self, groups: dict[str, list[str]], negations: list[str]):
+        self.groups, self.negations = groups, set(negations) | set(k.HARD_NEGATIONS)
+        stems = {t: t[:-1] for terms in groups.values() for t in terms}
+        endings = {"い": ["く" + n for n in negations], "る": k.VERB_NEGATIVES}
+        self.conjugated = {t: [stem + e for e in endings.get(t[-1:], [])] for t, stem in stems.items()}
+        self.plain_negations = set(negations)
+        keys = {*stems, *self.negations, *k.SOFT_PREFIXES, *(c for forms in self.conjugated.values() for c in forms)}
+        self.machine = automaton(x for x in keys if x)
+
+    def matches(self, text: str) -> dict[str, tuple[list[str], list[str]]]:
+        """(plain, negated) occurrences of each group's terms. A term that doesn't occur itself still counts as negated in its negative conjugation."""
+        places: dict[str, list[int]] = {}
+        for start, key in sorted(occurrences(self.machine, text)):
+            at = places.setdefault(key, [])
+            if not at or key not in self.conjugated or start >= at[-1] + len(key):  # a term's occurrences don't overlap
+                at.append(start)
+
+        def within(keys, lo: int, hi: int) -> bool:
+            return any(lo <= a and a + len(key) <= hi for key in keys for a in places.get(key, ()))
+
+        def is_negated(a: int, b: int) -> bool:
+            """A negation soon after the term, or one around it that a weakening word before it announces."""
+            lo, hi = max(0, a - k.BEFORE), b + k.AFTER
+            return within(self.negations, b, hi) or (within(k.SOFT_PREFIXES, lo, a) and within(self.plain_negations, lo, hi))
+
+        out = {}
+        for name, terms in self.groups.items():
+            plain, against = [], []
+            for term in terms:
+                for a in places.get(term, ()):
+                    (against if is_negated(a, a + len(term)) else plain).append(term)
+                if term not in places and any(form in places for form in self.conjugated[term]):
+                    against.append(term)
+            out[name] = (plain, against)
+        return out
 
 
 def lexicon_matches(text: str, terms: list[str], negations: list[str] = k.NEGATIONS) -> tuple[list[str], list[str]]:
-    """(plain, negated) occurrences. A term that doesn't occur itself still counts as negated in its negative conjugation."""
-    plain, against = [], []
-    for term in terms:
-        at, seen = text.find(term), False
-        while at >= 0:
-            seen = True
-            (against if negated(text, at, at + len(term), negations) else plain).append(term)
-            at = text.find(term, at + len(term))
-        if seen:
-            continue
-        stem = re.escape(term[:-1])
-        if term.endswith("い") and re.search(stem + "く(?:" + "|".join(map(re.escape, negations)) + ")", text):
-            against.append(term)
-        elif term.endswith("る") and re.search(stem + "(?:ら?(?:ない|なく|なかった|ません)|とは思わない|しない|できない)", text):
-            against.append(term)
-    return plain, against
+    return Matcher({"": terms}, negations).matches(text)[""]
 
 
 @dataclass
@@ -135,16 +210,19 @@ class Lexicon:
     negative: list[str]
     negations: list[str] = field(default_factory=lambda: list(k.NEGATIONS))
 
+    @cached_property
+    def matcher(self) -> Matcher:
+        return Matcher({f"c:{name}": terms for name, terms in self.categories.items()} | {"positive": self.positive}, self.negations)
+
+    def __getstate__(self):
+        return {name: v for name, v in vars(self).items() if name != "matcher"}
+
     def analyse(self, text: str | None) -> dict:
         """Negative terms are plain substrings; a negated positive term is negative too."""
-        text = text or ""
-        hit, no = [], []
-        for name, terms in self.categories.items():
-            p, n = lexicon_matches(text, terms, self.negations)
-            hit += [f"{name}:{x}" for x in p]
-            no += [f"{name}:{x}" for x in n]
-        p, n = lexicon_matches(text, self.positive, self.negations)
-        return {"matched": hit, "negated": no, "has_positive": bool(p), "has_negative": bool(n) or any(x in text for x in self.negative)}
+        found = self.matcher.matches(text or "")
+        plain, against = found.pop("positive")
+        listed = lambda side: [f"{name[2:]}:{x}" for name, both in found.items() for x in both[side]]
+        return {"matched": listed(0), "negated": listed(1), "has_positive": bool(plain), "has_negative": bool(against) or any(x in (text or "") for x in self.negative)}
 
 
 LEXICON_TYPE = StructType([StructField("matched", ArrayType(StringType())), StructField("negated", ArrayType(StringType())), StructField("has_positive", BooleanType()), StructField("has_negative", BooleanType())])

@@ -37,7 +37,8 @@ def without_marks(x: Column) -> Column:
 
 
 def compare_key(x: Column) -> Column:
-    return without_marks(nfkc(x))
+    """Without white space and a fixed set of signs, lower case; other punctuation stays."""
+    return F.regexp_replace(F.lower(nfkc(x)), rf"{SPACE}|[-_/\\|・･.()（）\[\]【】]", F.lit(""))
 
 
 def heading_key(x: Column) -> Column:
@@ -51,8 +52,10 @@ def sentences(x: Column, marks: str = "。！？!?") -> Column:
 
 
 def segments(title: Column, context: Column) -> Column:
-    body = F.split(F.replace(context, F.lit("・"), F.lit("\n")), r"[。！？!?\n]+")
-    return F.filter(F.transform(F.concat(F.array(title), body), utrim), lambda s: s != "")
+    """Pieces of title and context between end marks and lines; a middle dot begins a line and stays."""
+    whole = F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(context, F.lit("")))
+    parts = F.split(F.replace(whole, F.lit("・"), F.lit("\n・")), r"[。！？!?\n]")
+    return F.filter(F.transform(parts, utrim), lambda s: s != "")
 
 
 def found_terms(x: Column, terms: list[str]) -> Column:
@@ -104,22 +107,33 @@ def canonical_and_patterns(name: Column) -> tuple[Column, Column]:
     return label, F.array_distinct(F.array_compact(F.array(own, latin)))
 
 
+def _latin(x: Column) -> Column:
+    """Has ASCII letters and no kana or kanji."""
+    return has_ascii_letters(x) & ~x.rlike("[ぁ-んァ-ヶー一-龥]")
+
+
 def format_key(x: Column) -> Column:
-    return F.upper(collapse(nfkc(x)))
+    """Width and white space alike; Latin names in upper case."""
+    plain = collapse(nfkc(x))
+    return F.when(_latin(plain), F.upper(plain)).otherwise(plain)
 
 
 def symbol_key(x: Column) -> Column:
-    return F.regexp_replace(format_key(x), rf"{SPACE}|[\p{{P}}\p{{S}}]", F.lit(""))
+    return F.regexp_replace(format_key(x), rf"{SPACE}|[-_–—/・･'\"`´’‘.,&()（）]", F.lit(""))
 
 
 def singular_key(x: Column) -> Column:
-    """IES to Y, ES after S, X, Z, CH or SH off, S off."""
+    """Of Latin names, without signs: IES to Y from five characters on; ES, or else S, off from four on."""
     f = format_key(x)
-    return F.when(f.rlike("IES$"), F.regexp_replace(f, "IES$", F.lit("Y"))).when(f.rlike("(S|X|Z|CH|SH)ES$"), F.regexp_replace(f, "ES$", F.lit(""))).when(f.rlike("[^S]S$"), F.regexp_replace(f, "S$", F.lit(""))).otherwise(f)
+    word = F.regexp_replace(f, "[^A-Z0-9 ]", F.lit(""))
+    cut = lambda n: F.left(word, F.length(word) - n)
+    ends = lambda tail, least: word.endswith(tail) & (F.length(word) >= least)
+    return F.when(~_latin(f), f).when(ends("IES", 5), F.concat(cut(3), F.lit("Y"))).when(ends("ES", 4), cut(2)).when(ends("S", 4), cut(1)).otherwise(word)
 
 
 def katakana_key(x: Column) -> Column:
-    return F.regexp_replace(symbol_key(x), "[ー・]", F.lit(""))
+    plain = collapse(nfkc(x))
+    return F.when(has_ascii_letters(plain), plain).otherwise(F.regexp_replace(plain, rf"{SPACE}|[ー・･]", F.lit("")))
 
 
 def template_hit(x: Column, regexes: list[str], contains: list[str]) -> Column:
@@ -128,26 +142,37 @@ def template_hit(x: Column, regexes: list[str], contains: list[str]) -> Column:
 
 
 def explicit_mix(sentence: Column, a: Column, b: Column) -> Column:
-    """The matched text where both names are joined by a sign, or by a phrase with gaps of at most 12 characters; null otherwise."""
+    """The matched text where both names are joined by a sign, or by a phrase with gaps of at most 12 characters; null otherwise.
+    Forms are tried in this order, each with the names in either order: a sign, free gaps, と before the second name, に and を."""
     q = lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))
-    both = [(a, b), (b, a)]
-    signs = [F.concat(q(x), F.lit(r"\s*[×✕xX+＋/／]\s*"), q(y)) for x, y in both]
-    joins = ["と", "に", "を"]
-    verbs = r".{0,12}(?:ミックス|組み合わせ|ブレンド|合わせ|混ぜ|加え|入れ)"
-    phrases = [F.concat(q(x), F.lit(j + ".{0,12}"), q(y), F.lit(verbs)) for j in joins for x, y in both]
-    hits = [F.nullif(F.call_function("regexp_extract", sentence, p, F.lit(0)), F.lit("")) for p in signs + phrases]
+    gap, one_of = r".{0,12}", lambda words: "(?:" + "|".join(words) + ")"
+    forms = [(r"\s*[" + "".join(k.MIX_SIGNS) + r"]\s*", ""), (gap, gap + one_of(k.FREE_VERBS)), ("と", gap + one_of(k.JOINED_VERBS)), ("に", "を" + one_of(k.INTO_VERBS))]
+    patterns = [F.concat(q(x), F.lit(between), q(y), F.lit(after)) for between, after in forms for x, y in ((a, b), (b, a))]
+    hits = [F.nullif(F.call_function("regexp_extract", sentence, p, F.lit(0)), F.lit("")) for p in patterns]
     return F.when(F.contains(sentence, a) & F.contains(sentence, b), F.coalesce(*hits))
 
 
-def parent_child(a: Column, b: Column) -> Column:
+def parent_child_reason(a: Column, b: Column) -> Column:
+    """Which name's key holds the other's, where the keys differ; blank if neither does."""
     x, y = compare_key(a), compare_key(b)
-    return (x != y) & (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+    within = lambda p, q: F.concat(p, F.lit(" is contained in "), q)
+    differ = (x != y) & (x != "") & (y != "")
+    return F.when(differ & F.contains(y, x), within(a, b)).when(differ & F.contains(x, y), within(b, a)).otherwise(F.lit(""))
+
+
+def parent_child(a: Column, b: Column) -> Column:
+    return parent_child_reason(a, b) != ""
+
+
+def role_terms(sentence: Column, actions: list[str], effects: list[str]) -> Column:
+    """(rule, action, effect): the first term of each list that occurs; rule: action+effect, action, effect or blank."""
+    act, eff = (F.try_element_at(found_terms(sentence, terms), F.lit(1)) for terms in (actions, effects))
+    rule = F.concat_ws("+", F.when(act.isNotNull(), "action"), F.when(eff.isNotNull(), "effect"))
+    return F.struct(rule.alias("rule"), F.coalesce(act, F.lit("")).alias("action"), F.coalesce(eff, F.lit("")).alias("effect"))
 
 
 def role_rule(sentence: Column, actions: list[str], effects: list[str]) -> Column:
-    """'action+effect', 'action' or 'effect', of the first term of each list; blank if there is none."""
-    act, eff = F.try_element_at(found_terms(sentence, actions), F.lit(1)), F.try_element_at(found_terms(sentence, effects), F.lit(1))
-    return F.concat_ws("+", act, eff)
+    return role_terms(sentence, actions, effects)["rule"]
 
 
 def japanese_date(x: Column) -> Column:

@@ -56,7 +56,7 @@ def test_sentences_and_keys(spark):
     assert one(spark, t.utrim(F.col("s")), s="　\xa0x y\x85") == "x y"
     assert one(spark, t.mix_keywords(F.col("s")), s="メインにA、アクセントにBを加えた") == ["加え", "メイン", "アクセント"]
     assert one(spark, t.cell_tokens(F.col("s")), s="レモン/ライム、・バニラ") == ["レモン", "ライム", "バニラ"]
-    assert one(spark, t.compare_key(F.col("s")), s="Ａ・b　Ｃ!") == "abc"
+    assert one(spark, t.compare_key(F.col("s")), s="Ａ・b　Ｃ（d）_!") == "abcd!"
     assert one(spark, t.snippet(F.col("s"), F.lit("xx"), 2), s="abcxxdef") == "bcxxde"
 
 
@@ -91,3 +91,53 @@ def test_dictionary_of_a_catalogue(spark):
 def test_contexts():
     assert x.matched_context("Aは良い。AとBは良い。", "A", "B") == "AとBは良い。"
     assert x.matched_context("Aは良い。Bは良い。", "A", "B") == "Aは良い。 Bは良い。"
+
+
+def test_rules_of_mixes_roles_and_segments(spark):
+    mix = lambda s, a="グレープ", b="ミント": one(spark, t.explicit_mix(F.col("s"), F.lit(a), F.lit(b)), s=s)
+    assert mix("グレープにミントを足すと良い") == "グレープにミントを足す" and mix("ミントが強いグレープも少し足した") == "ミントが強いグレープも少し足した"
+    assert mix("グレープとミントをブレンド") is None and mix("グレープ" + "あ" * 13 + "ミントのミックス") is None
+    assert one(spark, t.parent_child_reason(F.lit("グレープ・ミント"), F.lit("ミント"))) == "ミント is contained in グレープ・ミント"
+    assert one(spark, t.parent_child(F.lit("A-b"), F.lit("ab"))) is False
+    assert tuple(one(spark, t.role_terms(F.col("s"), ["足す", "入れる"], ["爽やか"]), s="爽やかさを足す")) == ("action+effect", "足す", "爽やか")
+    assert one(spark, t.role_rule(F.col("s"), ["足す"], ["爽やか"]), s="爽やか") == "effect" and one(spark, t.role_rule(F.col("s"), ["足す"], ["x"]), s="") == ""
+    assert one(spark, t.segments(F.col("a"), F.col("b")), a="題！副題", b="一・二。 三\n\n四?") == ["題", "副題", "一", "・二", "三", "四"]
+
+
+def test_keys_by_script(spark):
+    key = lambda f, s: one(spark, f(F.col("s")), s=s)
+    assert key(t.format_key, "ａ  b") == "A B" and key(t.format_key, "aミント") == "aミント"
+    assert key(t.symbol_key, "Earl-Grey & (tea)!") == "EARLGREYTEA!" and key(t.singular_key, "gas") == "GAS" and key(t.singular_key, "bus") == "BUS"
+    assert key(t.singular_key, "plums") == "PLUM" and key(t.singular_key, "ミントs") == "ミントs" and key(t.katakana_key, "ミルク ティー") == "ミルクティ"
+    assert key(t.katakana_key, "Aー") == "Aー"
+
+
+def test_names_of_cells():
+    assert x.single_name(DICT, "グレープとミント（強め）") == "グレープ" and x.single_name(DICT, " ミ・ント ") == "" and x.single_name(DICT, None) == ""
+    assert x.name_candidates("ミント", ["グレープミント", "ミント味", "バニラ", "ミ・ント"]) == ["ミ・ント", "ミント味", "グレープミント"]
+    assert x.name_candidates("・", ["ミント"]) == []
+
+
+def test_extraction_and_negation_match_plain_scans():
+    """Against readings of the rules that look at one pattern and one place at a time."""
+    import random
+    import re
+
+    rng, parts = random.Random(5), [*NAMES, "の", "新", "a", "ミン", "あまり", "甘い", "甘く", "ない", "食べる", "食べ", "ません", "しない", "。", "x1"]
+    d = x.Dictionary([(n, n.lower()) for n in [*NAMES, "Ax1", "mintx"]])
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        taken, want = set(), set()
+        for p in sorted([*NAMES, "AX1", "MINTX"], key=len, reverse=True):
+            for m in re.finditer(f"(?={re.escape(p)})", text.upper()):
+                a, b = m.start(), m.start() + len(p)
+                if not taken & set(range(a, b)) and d.stands_alone(text, a, b):
+                    taken |= set(range(a, b))
+                    want.add(p.lower())
+        assert d.extract(text) == sorted(want), text
+        plain, against = x.lexicon_matches(text, ["甘い", "食べる"])
+        for term in ("甘い", "食べる"):
+            n = len(re.findall(term, text))
+            bad = sum(bool(re.search("ない|ません|なく", text[m.end() : m.end() + 8]) or ("あまり" in text[max(0, m.start() - 4) : m.start()] and re.search("ない|なく|ません", text[max(0, m.start() - 4) : m.end() + 8]))) for m in re.finditer(term, text))
+            forms = {"甘い": "甘く(?:ない|なく|ません|ではない|じゃない)", "食べる": "食べ(?:ら?(?:ない|なく|なかった|ません)|とは思わない|しない|できない)"}
+            assert (plain.count(term), against.count(term)) == ((n - bad, bad) if n else (0, int(bool(re.search(forms[term], text))))), (text, term)
