@@ -75,12 +75,24 @@ def deduplicated(rows: DataFrame) -> DataFrame:
 
 
 def representative_contexts(rows: DataFrame, k: int = 3) -> DataFrame:
-    """Up to k sentences per pair: first those of new documents and new sentences, then those of new sentences. Two ranked passes.
+    """Up to k sentences per pair, greedily in order: first rows whose sentence and document are both new, then rows whose sentence is new.
 
-    Order: same sentence, not template, explicit, role, positive, then document and place."""
+    Order: same sentence, not template, explicit, role, positive, then document and place. A row that is taken has fewer than k other
+    sentences of its document and fewer than k other documents of its sentence before it, and with both ranks at most k only
+    k + 2 * k * k rows can come before the last one taken; so each pair's list is short whatever the number of its rows."""
     order = [F.desc("same_sentence"), F.asc("is_template"), F.desc("has_explicit_mix"), F.desc("has_role"), F.desc("has_positive"), F.asc("doc_id"), F.asc("sentence_index")]
     w = lambda *keys: Window.partitionBy(*PAIR, *keys).orderBy(*order)
-    x = rows.withColumn("of_sentence", F.row_number().over(w("sentence"))).filter("of_sentence = 1")
-    x = x.withColumn("of_doc", F.row_number().over(w("doc_id")))
-    final = Window.partitionBy(*PAIR).orderBy(F.when(F.col("of_doc") == 1, 0).otherwise(1), *order)
-    return x.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).drop("of_sentence", "of_doc")
+    x = rows.withColumn("r", F.row_number().over(w("sentence", "doc_id"))).filter("r = 1")
+    x = x.withColumns({"r": F.row_number().over(w("sentence")), "of_doc": F.row_number().over(w("doc_id"))}).filter((F.col("r") <= k) & (F.col("of_doc") <= k))
+    x = x.withColumn("r", F.row_number().over(w())).filter(F.col("r") <= k + 2 * k * k).drop("of_doc")
+    short = F.array_sort(F.collect_list(F.struct("r", "sentence", "doc_id")))
+    none = F.array().cast(f"array<struct<r:int,sentence:string,doc_id:{rows.schema['doc_id'].dataType.simpleString()}>>")
+
+    def taking(new):
+        return lambda acc, y: F.when((F.size(acc) < k) & new(acc, y), F.concat(acc, F.array(y))).otherwise(acc)
+
+    new_sentence = lambda acc, y: ~F.exists(acc, lambda z: z["sentence"] == y["sentence"])
+    new_both = lambda acc, y: ~F.exists(acc, lambda z: (z["sentence"] == y["sentence"]) | (z["doc_id"] == y["doc_id"]))
+    picks = x.groupBy(*PAIR).agg(short.alias("all")).withColumn("first", F.aggregate("all", none, taking(new_both)))
+    picks = picks.select(*PAIR, F.posexplode(F.aggregate("all", F.col("first"), taking(new_sentence))).alias("i", "pick"))
+    return x.join(picks.select(*PAIR, F.col("pick.r").alias("r"), (F.col("i") + 1).alias("rank")), [*PAIR, "r"]).drop("r")
