@@ -53,30 +53,30 @@ def template_hits(spark, sf):
     return x.withColumn("pattern", hit).filter("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n_lines"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+PHRASE_WORDS = 8
+
+
 def contamination_hits(spark, sf):
-    """Benchmark openings found in documents, with their surroundings. An opening's words but its first and last, which may be parts of
-    a document's words, are whole words wherever it is found: up to four of them are the key by which documents and items meet, and
-    `contains` is the check. Openings of at most two words have no such key; they alone are compared with every document."""
-    ws = r"[\x20\x09-\x0D]"
-    split = lambda c: F.filter(F.split(c, ws + "+"), lambda w: w != "")
-    cut = lambda x, at, less: F.slice(x, F.lit(at), F.greatest(F.size(x) - less, F.lit(0)))
-    b = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("phrase")).filter("phrase is not null").withColumn("w", split("phrase"))
-    b = b.withColumn("w", F.when(F.col("phrase").rlike(rf"\A{ws}"), F.col("w")).otherwise(cut(F.col("w"), 2, 1)))
-    b = b.withColumn("w", F.slice(F.when(F.col("phrase").rlike(rf"{ws}\z"), F.col("w")).otherwise(cut(F.col("w"), 1, 1)), 1, 4))
-    b = b.select("item_id", "phrase", F.size("w").alias("k"), F.xxhash64(F.array_join("w", " ")).alias("key"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    words = docs.select("doc_id", split("text").alias("w"))
-    found = docs.crossJoin(b.filter("k = 0").select("item_id", "phrase"))
-    sizes = sorted(r["k"] for r in b.select("k").distinct().collect())  # 0 to 4
-    if 0 not in sizes:
-        found = found.limit(0)
-    for k in filter(None, sizes):
-        items = b.filter(F.col("k") == k)
-        grams = F.transform(cut(F.col("w"), 1, k - 1), lambda w, i: F.xxhash64(F.array_join(F.slice(F.col("w"), i + 1, F.lit(k)), " ")))  # noqa: B023
-        meet = words.select(F.col("doc_id").alias("of"), F.explode(F.array_distinct(grams)).alias("key")).join(items.select("key"), "key", "left_semi").distinct()
-        meet = meet.join(items, "key").select("of", "item_id", "phrase")
-        found = found.unionByName(docs.join(meet, F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text", "item_id", "phrase"))
-    return found.filter(F.contains("text", "phrase")).select("doc_id", "item_id", t.snippet(F.col("text"), F.col("phrase"), 20).alias("context"))
+    """Documents that hold PHRASE_WORDS consecutive words of a benchmark item, from anywhere in it, or all words of a shorter item: the number
+    of different phrases found, and the surroundings of the first. Documents and items meet by the phrases' hashes."""
+    split = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    phrases = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    b = table(spark, sf, "benchmark").select("item_id", split("text").alias("w")).filter(F.size("w") > 0)
+    b = b.withColumn("k", F.least(F.size("w"), F.lit(PHRASE_WORDS)))
+    items = b.select("item_id", "k", F.explode(F.array_distinct(phrases(F.col("w"), F.col("k")))).alias("phrase"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.xxhash64("text").alias("h")).filter(F.col("text").isNotNull())
+    found = None
+    for k in sorted(r["k"] for r in items.select("k").distinct().collect()):  # PHRASE_WORDS rows at most
+        own = items.filter(F.col("k") == k).select("item_id", "phrase", F.xxhash64("phrase").alias("key"))
+        x = docs.select("doc_id", "h", split("text").alias("w")).filter(F.size("w") >= k)
+        hashes = F.transform(phrases(F.col("w"), F.lit(k)), lambda p: F.xxhash64(p))
+        met = x.select("doc_id", "h", F.posexplode(hashes).alias("at", "key")).join(own, "key").select("doc_id", "h", "item_id", "at", "phrase")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        found = docs.limit(0).select("doc_id", "h", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("at"), "text").withColumnRenamed("text", "phrase")
+    found = found.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_text"), "item_id").agg(F.countDistinct("phrase").alias("n_phrases"), F.min_by("phrase", "at").alias("phrase"))
+    hits = docs.dropDuplicates(["doc_id", "h"]).join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_text")))
+    return hits.select("doc_id", "item_id", "n_phrases", t.snippet(F.array_join(split("text"), " "), F.col("phrase"), 20).alias("context"))
 
 
 def phrase_hits(spark, sf):
@@ -87,9 +87,8 @@ def phrase_hits(spark, sf):
 def length_outliers(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
     m = d.agg(F.percentile("n_chars", 0.5).alias("median"))
-    up = F.row_number().over(Window.orderBy("n_chars", "doc_id"))
-    down = F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))
-    low, high = d.withColumn("r", up).filter("r <= 5").select("doc_id", F.lit(True).alias("low")), d.withColumn("r", down).filter("r <= 5").select("doc_id", F.lit(True).alias("high"))
+    ends = {n: d.orderBy(*order).limit(5).select("doc_id", F.lit(True).alias(n)) for n, order in (("low", ["n_chars", "doc_id"]), ("high", [F.desc("n_chars"), "doc_id"]))}
+    low, high = ends["low"], ends["high"]
     x = d.crossJoin(F.broadcast(m)).join(F.broadcast(low), "doc_id", "left").join(F.broadcast(high), "doc_id", "left")
     reasons = F.array_compact(F.array(F.when(F.col("n_chars") < 500, "under_500"), F.when(F.col("n_chars") > 3 * F.col("median"), "over_3x_median"), F.when(F.col("low"), "bottom_5"), F.when(F.col("high"), "top_5")))
     return x.select("doc_id", "n_chars", F.array_join(reasons, "|").alias("reasons")).filter("reasons <> ''")
@@ -156,7 +155,7 @@ def json_props_stats(spark, sf):
 
 def conversation_context(spark, sf):
     w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    return table(spark, sf, "conversations").withColumn("i", F.row_number().over(w)).filter("i <= 2").select("conv_id", "role", "turn", F.substring("text", 1, 80).alias("context"))
+    return table(spark, sf, "conversations").withColumn("i", F.row_number().over(w)).filter("i <= 2").select("conv_id", "role", "turn", F.col("text").alias("context"))
 
 
 def metadata_inconsistency(spark, sf):
@@ -173,7 +172,8 @@ def alias_components(spark, sf):
     w = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
     w = w.unionByName(w.select(F.concat(F.col("word"), F.lit("s")).alias("word")).distinct()).groupBy("word").agg(F.count("*").alias("n"))
     keyed = w.select("word", "n", F.regexp_replace(F.upper("word"), "S$", "").alias("k"))
-    edges = keyed.select(F.col("word").alias("item_a"), "k").join(keyed.select(F.col("word").alias("item_b"), "k"), "k").filter("item_a < item_b").select("item_a", "item_b")
+    least = keyed.groupBy("k").agg(F.min("word").alias("item_a"))  # a group's words are linked through its first, not all with all
+    edges = least.join(keyed.select(F.col("word").alias("item_b"), "k"), "k").filter("item_a < item_b").select("item_a", "item_b")
     c = g.components(edges).join(w, F.col("node") == F.col("word"))
     label = c.groupBy("component").agg(F.min_by("word", F.struct(-F.col("n"), F.length("word"), F.col("word"))).alias("canonical"))
     return c.join(label, "component").select("word", "n", "canonical")
@@ -181,7 +181,7 @@ def alias_components(spark, sf):
 
 def apply_alias_map(spark, sf):
     m = alias_components(spark, sf).select("word", "canonical")
-    x = table(spark, sf, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).join(F.broadcast(m), "word", "left")
+    x = table(spark, sf, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word")).join(m, "word", "left")
     x = x.groupBy("p_partkey").agg(F.sort_array(F.collect_set(F.coalesce("canonical", "word"))).alias("items"), F.bool_or(F.col("canonical") != F.col("word")).alias("changed"))
     return x.select("p_partkey", F.array_join("items", "|").alias("items"), "changed")
 
@@ -207,8 +207,13 @@ ORACLES = {
 SELECT x.token AS item_a, y.token AS item_b, count(*) AS n_sentences, count(DISTINCT x.doc_id) AS n_docs FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.i = y.i AND x.token < y.token GROUP BY 1, 2""",
     "template_hits": f"""WITH l AS ({_LINES}), h AS (SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(line, '{r}') THEN '{r}'" for r in TEMPLATES["regex"])} {" ".join(f"WHEN contains(line, '{c}') THEN '{c}'" for c in TEMPLATES["contains"])} END AS pattern FROM l)
 SELECT pattern, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM h WHERE pattern IS NOT NULL GROUP BY 1""",
-    "contamination_hits": """WITH b AS (SELECT item_id, substr(text, 1, 40) AS p FROM benchmark)
-SELECT doc_id, item_id, substr(text, greatest(instr(text, p) - 20, 1), instr(text, p) - greatest(instr(text, p) - 20, 1) + length(p) + 20) AS context FROM documents JOIN b ON contains(text, p)""",
+    "contamination_hits": rf"""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(w), {PHRASE_WORDS}) AS k, array_to_string(w[j:j + least(len(w), {PHRASE_WORDS}) - 1], ' ') AS phrase FROM b, unnest(generate_series(1, greatest(len(w) - {PHRASE_WORDS - 1}, 1))) AS g(j) WHERE len(w) > 0),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+m AS (SELECT doc_id, k, spot, array_to_string(w[spot:spot + k - 1], ' ') AS phrase FROM d, (SELECT DISTINCT k FROM i), unnest(generate_series(1, len(w) - k + 1)) AS g(spot)),
+f AS (SELECT doc_id, item_id, count(DISTINCT phrase) AS n_phrases, arg_min(phrase, spot) AS p FROM m JOIN i USING (k, phrase) GROUP BY 1, 2),
+x AS (SELECT doc_id, item_id, n_phrases, p, array_to_string(w, ' ') AS t FROM f JOIN d USING (doc_id))
+SELECT doc_id, item_id, n_phrases, substr(t, greatest(instr(t, p) - 20, 1), instr(t, p) - greatest(instr(t, p) - 20, 1) + length(p) + 20) AS context FROM x""",
     "phrase_hits": f"SELECT source, phrase, count(*) AS n FROM documents, unnest({PHRASES}) AS t(phrase) WHERE contains(text, phrase) GROUP BY 1, 2",
     "length_outliers": """WITH m AS (SELECT quantile_cont(n_chars, 0.5) AS med FROM documents), x AS (SELECT doc_id, n_chars, med, row_number() OVER (ORDER BY n_chars, doc_id) AS up, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS down FROM documents, m),
 y AS (SELECT doc_id, n_chars, concat_ws('|', CASE WHEN n_chars < 500 THEN 'under_500' END, CASE WHEN n_chars > 3 * med THEN 'over_3x_median' END, CASE WHEN up <= 5 THEN 'bottom_5' END, CASE WHEN down <= 5 THEN 'top_5' END) AS reasons FROM x) SELECT * FROM y WHERE reasons <> ''""",
@@ -224,7 +229,7 @@ n AS (SELECT era, count(DISTINCT l_orderkey) AS o FROM x GROUP BY 1), g AS (SELE
 s AS (SELECT p_type, coalesce(max(share) FILTER (era = 'early'), 0) AS early, coalesce(max(share) FILTER (era = 'late'), 0) AS late FROM g GROUP BY 1) SELECT *, CASE WHEN early <> 0 THEN 100 * (late - early) / early END AS change_pct FROM s""",
     "event_era": "SELECT event_type, day(ts) <= 14 AS first_half, count(*) AS n, avg(value) AS mean_value FROM events WHERE day(ts) BETWEEN 1 AND 14 OR day(ts) BETWEEN 18 AND 31 GROUP BY 1, 2",
     "json_props_stats": "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2",
-    "conversation_context": "SELECT conv_id, role, turn, substr(text, 1, 80) AS context FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) <= 2",
+    "conversation_context": "SELECT conv_id, role, turn, text AS context FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) <= 2",
     "metadata_inconsistency": """WITH x AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey), h AS (SELECT 'shipped_before_order' AS rule, l_orderkey FROM x WHERE l_shipdate < o_orderdate UNION ALL SELECT 'open_but_returned', l_orderkey FROM x WHERE o_orderstatus = 'O' AND l_returnflag = 'R'
 UNION ALL SELECT 'large_discount', l_orderkey FROM x WHERE l_discount > l_tax + 0.05::DOUBLE UNION ALL SELECT 'line_over_total', l_orderkey FROM x WHERE l_extendedprice > o_totalprice) SELECT rule, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders FROM h GROUP BY 1""",
     "alias_components": f"WITH {_ALIAS} SELECT word, n, canonical FROM al",

@@ -4,13 +4,26 @@ from quernstone.plans import documents
 
 
 def test_every_item_is_searched_for_wherever_it_is(spark, tmp_path):
-    """More items than any list of bounded size; openings that begin and end within a document's words, or are too short for a key."""
-    items = [(i, f"item {i} asks how many stones the old mill at stream {i} has") for i in range(10_050)]
-    items += [(20_000, "ab"), (20_001, "two words"), (20_002, " led by a blank"), (20_003, "the last of it "), (20_004, None), (20_005, "x" * 60), (20_006, "item 7 asks how many stones the old mill at stream 7 has")]
-    docs = [(1, "so " + items[10_049][1]), (1, "another row of this id: re" + items[7][1]), (None, "no id, cab, two wordsworth"), (3, "sled by a blank; led by a blanket"), (4, "is this the last of it or not"), (5, "xx" + "x" * 50), (6, ""), (7, None)]
+    """More items than any list of bounded size; phrases from inside an item, and items that are shorter than a phrase."""
+    items = [(i, f"item {i} asks how many stones the old mill at stream {i} has in its southern wall") for i in range(10_050)]
+    items += [(20_000, "ab"), (20_001, "two words"), (20_004, None), (20_005, " "), (20_006, "  " + items[7][1].replace(" ", "\n")), (20_007, "x y " * 9)]
+    docs = [(1, "so " + items[10_049][1]), (1, "another row of this id: " + items[7][1]), (None, "no id, cab, ab two  words here"), (3, "two wordsworth cab"), (4, "only its middle: stones the old mill at stream 55 has in its"), (5, "stones the old mill at stream"), (6, ""), (7, None), (8, "x y " * 30)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    want = sorted(((d or 0, i) for d, t in docs for i, p in items if t is not None and p is not None and p[:40] in t))
+    phrases = {}
+    for i, p in items:
+        w = (p or "").split()
+        for j in range(max(len(w) - 7, min(len(w), 1))):
+            phrases.setdefault(tuple(w[j : j + 8]), set()).add(i)
+    want = []
+    for d, text in docs:
+        w, found = (text or "").split(), {}
+        for k in range(1, 9):
+            for j in range(len(w) - k + 1):
+                for i in phrases.get(tuple(w[j : j + k]), ()):
+                    found.setdefault(i, set()).add(tuple(w[j : j + k]))
+        want += [(d or 0, i, len(f)) for i, f in found.items()]
     got = documents.contamination_hits(spark, str(tmp_path)).collect()
-    assert sorted((r.doc_id or 0, r.item_id) for r in got) == want and (1, 10_049) in want and (1, 20_006) in want
+    assert sorted((r.doc_id or 0, r.item_id, r.n_phrases) for r in got) == sorted(want)
+    assert {(1, 10_049), (1, 20_006), (0, 20_000), (0, 20_001), (4, 55), (8, 20_007)} <= {(d, i) for d, i, _ in want}
     assert all(r.context for r in got)
