@@ -64,9 +64,20 @@ def pair_key(a: Column | str = "item_a", b: Column | str = "item_b") -> Column:
 
 def pair_statistics(df: DataFrame, *keys: str) -> DataFrame:
     """Pair counts with both items' counts, support and lift, per group of keys (none: over all). N counts every basket."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("n_baskets"))
-    freq = item_counts(df, *keys)
     pairs = exploded_pairs(df, *keys).groupBy(*keys, *PAIR).agg(F.count("*").alias("pair_count"))
+    return statistics_of(pairs, items_and_total(df, *keys), *keys)
+
+
+def items_and_total(df: DataFrame, *keys: str) -> DataFrame:
+    """(item, frequency) of each group of keys, and the number of its baskets under a null item: one pass for both."""
+    marked = F.concat("items", F.array(F.lit(None).cast("string")))
+    return df.select(*keys, F.explode(marked).alias("item")).groupBy(*keys, "item").agg(F.count("*").alias("frequency"))
+
+
+def statistics_of(pairs: DataFrame, items: DataFrame, *keys: str) -> DataFrame:
+    """pair_statistics() from counted pairs (item_a, item_b, pair_count) and items_and_total()."""
+    n = items.filter(F.col("item").isNull()).select(*keys, F.col("frequency").alias("n_baskets"))
+    freq = items.filter(F.col("item").isNotNull())
     out = pairs.join(freq.withColumnsRenamed({"item": "item_a", "frequency": "frequency_a"}), [*keys, "item_a"])
     out = out.join(freq.withColumnsRenamed({"item": "item_b", "frequency": "frequency_b"}), [*keys, "item_b"])
     out = out.join(n, [*keys]) if keys else out.crossJoin(F.broadcast(n))
@@ -97,7 +108,13 @@ def top_pairs(df: DataFrame, score: str, k: int, *keys: str, name: str = "rank")
     return stable_rank(df, score, name, *keys).filter(F.col(name) <= k)
 
 
-def pairs_with_baskets(df: DataFrame, limit: int = 5) -> DataFrame:
+def pairs_with_baskets(df: DataFrame) -> DataFrame:
+    """Each pair with its count and every basket that has it: a row for each, so that no pair's ids are held in one cell."""
+    rows = exploded_pairs(df, "basket_id")
+    return rows.join(rows.groupBy(*PAIR).agg(F.count("*").alias("pair_count")), [*PAIR]).select(*PAIR, "pair_count", "basket_id")
+
+
+def pairs_with_first_baskets(df: DataFrame, limit: int = 5) -> DataFrame:
     """Pair counts with the first `limit` basket ids. Ids are reduced to the smallest by rank, not collected whole."""
     rows = exploded_pairs(df, "basket_id")
     w = Window.partitionBy(*PAIR).orderBy("basket_id")

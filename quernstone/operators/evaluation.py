@@ -84,11 +84,15 @@ def label_rates_at_k(df: DataFrame, labels: list[str], ks: DataFrame, blanks_cou
     return x.groupBy("k").agg(F.count("*").alias("n"), *[rate(c) for c in labels])
 
 
-def tertile(value: str) -> Column:
-    """low, mid or high by average rank over count; blank for fewer than three rows."""
-    n = F.count("*").over(Window.partitionBy())
-    share = average_rank(value) / n
-    return F.when(n < 3, "").when(share <= 1 / 3, "low").when(share <= 2 / 3, "mid").otherwise("high")
+def with_tertile(df: DataFrame, value: str, name: str = "tertile") -> DataFrame:
+    """Adds low, mid or high by average rank over count; blank for fewer than three rows, null for a null value.
+    Ranks come from counted values: a row for each different one."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("tertile_of")).agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.orderBy("tertile_of")) - F.col("c")
+    total = F.sum("c").over(Window.partitionBy())
+    share = (before + (F.col("c") + 1) / 2) / total
+    kind = F.when(total < 3, "").when(share <= 1 / 3, "low").when(share <= 2 / 3, "mid").otherwise("high")
+    return df.join(counted.select("tertile_of", kind.alias(name)), F.col(value) == F.col("tertile_of"), "left").drop("tertile_of")
 
 
 def cohen_kappa(df: DataFrame, field: str, first: str, second: str) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     a = edges.select(F.col("item_a").alias("node"), F.col("item_b").alias("other"), "weight")
@@ -112,15 +114,15 @@ def pair_centrality(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable. Labels halve their distance each round; lineage is cut by checkpoint where a folder is set."""
-    nbrs = both_ways(edges.withColumn("weight", F.lit(1))).select("node", "other").distinct()
+    """(node, component): smallest node reachable. Labels halve their distance each round; each round is written, so lineage doesn't grow."""
+    nbrs = written(both_ways(edges.withColumn("weight", F.lit(1))).select("node", "other").distinct(), "neighbours")
     label = nbrs.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component"))
     for _ in range(max_rounds):
         near = nbrs.join(label.withColumnsRenamed({"node": "other", "component": "c"}), "other").groupBy("node").agg(F.min("c").alias("c"))
         step = label.join(near, "node").select("node", F.least("component", "c").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
-        new = new.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = written(new, "labels")
         changed = new.join(label.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
         label = new
         if not changed:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import association as a
 from ..operators import scoring as s
+from ..scratch import written
 from ..session import table
 
 
@@ -46,6 +47,10 @@ def pair_counts_docs(spark, sf):
     return a.pairs_with_baskets(a.in_condition(order_baskets(spark, sf, "p_type"), a.Condition("c", 2, 5)))
 
 
+def pair_first_docs(spark, sf):
+    return a.pairs_with_first_baskets(a.in_condition(order_baskets(spark, sf, "p_type"), a.Condition("c", 2, 5)))
+
+
 def _lift_query(q: float):
     def query(spark, sf):
         x = a.at_least_quantile(pair_stats_limited(spark, sf), "pair_count", q)
@@ -115,17 +120,19 @@ def pair_features(spark, sf):
     """Pair statistics with centrality (weighted degree over the largest) and evidence: baskets of one line status are same-context ones."""
     b = order_baskets(spark, sf, "p_brand", *[F.expr(v).alias(k) for k, v in EVIDENCE.items()])
     b = a.in_condition(b, a.Condition("limited_2_5", 2, 5))
-    stats = a.pair_statistics(b)
-    rows = a.exploded_pairs(b, *EVIDENCE)
     counts = {"evidence": F.col("same")} | {k: F.col("same") & F.col(k) for k in ("positive", "negative", "role")} | {f"doc_{k}": F.col(k) for k in ("positive", "negative", "role")}
-    evidence = rows.groupBy(*a.PAIR).agg(*[F.count_if(v).alias(k) for k, v in counts.items()])
+    pairs = written(a.exploded_pairs(b, *EVIDENCE).groupBy(*a.PAIR).agg(F.count("*").alias("pair_count"), *[F.count_if(v).alias(k) for k, v in counts.items()]), "pairs")
+    items = written(a.items_and_total(b), "items")  # two passes over the lines in all; what follows reads counted pairs alone
+    stats = a.statistics_of(pairs.select(*a.PAIR, "pair_count"), items)
+    evidence = pairs.drop("pair_count")
     degree = stats.select(F.col("item_a").alias("item"), "pair_count").unionByName(stats.select(F.col("item_b").alias("item"), "pair_count")).groupBy("item").agg(F.sum("pair_count").alias("w"))
     degree = degree.crossJoin(F.broadcast(degree.agg(F.max("w").alias("top")))).select("item", (F.col("w") / F.col("top")).alias("c"))
     x = stats.join(evidence, [*a.PAIR])
     for side in a.PAIR:
         x = x.join(degree.withColumnsRenamed({"item": side, "c": f"c_{side}"}), side)
     x = x.withColumns({"centrality_mean": (F.col("c_item_a") + F.col("c_item_b")) / 2, "centrality_max": F.greatest("c_item_a", "c_item_b"), "centrality_geometric": F.sqrt(F.col("c_item_a") * F.col("c_item_b"))})
-    return x.withColumn("parent_child_pair", F.right("item_a", F.lit(1)) == F.right("item_b", F.lit(1))).drop("c_item_a", "c_item_b")
+    x = x.withColumn("parent_child_pair", F.right("item_a", F.lit(1)) == F.right("item_b", F.lit(1))).drop("c_item_a", "c_item_b")
+    return written(x, "pair_features")
 
 
 #: Gates for the test tables, where every pair occurs often.
@@ -171,7 +178,7 @@ def tier_distribution(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (pair_stats_all, pair_stats_limited, pair_stats_event, item_frequency, pair_counts_docs, support_topk, lift_topk, hidden_gems, condition_stats, condition_topk, multiway_lift, basket_size_hist, min_count_chooser, normalised_features, ranking_v1, ranking_v2, tier_split, sensitivity_3, sensitivity_21, threshold_grid_36, tier_distribution)
+    for f in (pair_stats_all, pair_stats_limited, pair_stats_event, item_frequency, pair_counts_docs, pair_first_docs, support_topk, lift_topk, hidden_gems, condition_stats, condition_topk, multiway_lift, basket_size_hist, min_count_chooser, normalised_features, ranking_v1, ranking_v2, tier_split, sensitivity_3, sensitivity_21, threshold_grid_36, tier_distribution)
 } | {"lift_min_q25": _lift_query(0.25), "lift_min_q50": _lift_query(0.5), "lift_min_q75": _lift_query(0.75), "itemsets_k3": _sets(3), "itemsets_k4": _sets(4), "itemsets_k5": _sets(5)}
 
 
@@ -269,6 +276,8 @@ ORACLES = {
     "pair_stats_event": f"WITH l AS (SELECT user_id || '|' || ts::DATE AS basket_id, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1), {stats_sql('l')} SELECT * FROM stats",
     "item_frequency": f"{_LIMITED} SELECT item, f AS frequency FROM f",
     "pair_counts_docs": f"""WITH b AS ({baskets_sql("p_type")}), e AS (SELECT basket_id, unnest(items) AS item FROM b WHERE len(items) BETWEEN 2 AND 5)
+SELECT x.item AS item_a, y.item AS item_b, count(*) OVER (PARTITION BY x.item, y.item) AS pair_count, x.basket_id FROM e x JOIN e y ON x.basket_id = y.basket_id AND x.item < y.item""",
+    "pair_first_docs": f"""WITH b AS ({baskets_sql("p_type")}), e AS (SELECT basket_id, unnest(items) AS item FROM b WHERE len(items) BETWEEN 2 AND 5)
 SELECT x.item AS item_a, y.item AS item_b, count(*) AS pair_count, array_to_string(list_sort(list(x.basket_id))[1:5], '|') AS basket_ids FROM e x JOIN e y ON x.basket_id = y.basket_id AND x.item < y.item GROUP BY 1, 2""",
     "support_topk": f"{_LIMITED} SELECT *, row_number() OVER (ORDER BY support DESC, {_ORDER})::INT AS rank FROM stats QUALIFY rank <= 20",
     "lift_topk": f"{_LIMITED} SELECT *, row_number() OVER (ORDER BY lift DESC, pair_count DESC, item_a, item_b)::INT AS rank FROM stats QUALIFY rank <= 20",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import association as a
 from ..operators import evaluation as ev
 from ..operators import graph as g
+from ..scratch import written
 from ..session import table
 from .association import _LIMITED, _ORDER, baskets_sql, flagged_baskets, order_baskets, pair_stats_limited, stats_sql
 
@@ -21,13 +22,13 @@ def _ks(spark):
 def _by_condition(spark, sf, name):
     c = next(c for c in a.CONDITIONS if c.name == name)
     x = a.pair_statistics(a.in_condition(flagged_baskets(spark, sf), c))
-    return a.stable_rank(x, "support", "rank").select("pair_key", "pair_count", "lift", "rank")
+    return written(a.stable_rank(x, "support", "rank").select("pair_key", "pair_count", "lift", "rank"), "ranking")
 
 
 def _between(spark, sf, first, last):
     o = table(spark, sf, "orders").filter(F.year("o_orderdate").between(first, last)).select(F.col("o_orderkey").alias("basket_id"))
     x = order_baskets(spark, sf).join(o, "basket_id", "left_semi")
-    return a.stable_rank(a.pair_statistics(a.in_condition(x, a.Condition("l", 2, 5))), "support", "rank").select("pair_key", "pair_count", "lift", "rank")
+    return written(a.stable_rank(a.pair_statistics(a.in_condition(x, a.Condition("l", 2, 5))), "support", "rank").select("pair_key", "pair_count", "lift", "rank"), "ranking")
 
 
 def ranking_compare_ab(spark, sf):
@@ -54,12 +55,12 @@ def rank_corr_kendall(spark, sf):
 def _external(spark, sf):
     """Pairs in at least two orders of 9 or more brands: the reference set. Brand #1x items of it are foreign to the ranking's vocabulary."""
     x = a.in_condition(order_baskets(spark, sf), a.Condition("large", 9))
-    return a.pair_statistics(x).filter("pair_count >= 2").select(*a.PAIR, "pair_key")
+    return written(a.pair_statistics(x).filter("pair_count >= 2").select(*a.PAIR, "pair_key"), "external")
 
 
 def _ranking(spark, sf):
     x = a.stable_rank(pair_stats_limited(spark, sf), "lift", "rank").select(*a.PAIR, "pair_key", "pair_count", "rank")
-    return x.filter(F.col("pair_count") >= 10).filter("rank <= 200")
+    return written(x.filter(F.col("pair_count") >= 10).filter("rank <= 200"), "ranking")
 
 
 def agreement_at_k(spark, sf):
@@ -80,7 +81,9 @@ def external_only(spark, sf):
 
 
 def ranking_only(spark, sf):
-    return _ranking(spark, sf).filter("rank <= 20").join(_external(spark, sf), "pair_key", "left_anti").select("pair_key", "rank")
+    """The reference set: pairs in at least two orders of three brands. Those of larger orders hold nearly every pair."""
+    ext = a.pair_statistics(a.in_condition(order_baskets(spark, sf), a.Condition("three", 3, 3))).filter("pair_count >= 20")
+    return _ranking(spark, sf).join(ext, "pair_key", "left_anti").select("pair_key", "rank")
 
 
 def topk_audit(spark, sf):
@@ -94,21 +97,26 @@ def union_dedup(spark, sf):
 
 
 def _labelled(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "source").join(table(spark, sf, "labels"), "doc_id", "left")
-    return d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
+    return table(spark, sf, "documents").select("doc_id", "n_chars", "source").join(table(spark, sf, "labels"), "doc_id", "left")
+
+
+def _top_labelled(spark, sf):
+    """The longest documents with their rank: as many as the largest k, picked before any window sees them."""
+    x = _labelled(spark, sf).orderBy(F.desc("n_chars"), "doc_id").limit(max(KS))
+    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
 
 
 def label_rates_at_k(spark, sf):
-    return ev.label_rates_at_k(_labelled(spark, sf), ["quality", "toxic"], _ks(spark))
+    return ev.label_rates_at_k(_top_labelled(spark, sf), ["quality", "toxic"], _ks(spark))
 
 
 def label_rates_no_blanks(spark, sf):
-    return ev.label_rates_at_k(_labelled(spark, sf), ["quality", "toxic"], _ks(spark), blanks_count=False)
+    return ev.label_rates_at_k(_top_labelled(spark, sf), ["quality", "toxic"], _ks(spark), blanks_count=False)
 
 
 def crosstab_tertile(spark, sf):
     x = _labelled(spark, sf).filter("quality is not null").withColumn("n_chars", F.col("n_chars").cast("double"))
-    return x.withColumn("tertile", ev.tertile("n_chars")).groupBy("tertile", "quality").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.percentile("n_chars", 0.5).alias("median_chars"))
+    return ev.with_tertile(x, "n_chars").groupBy("tertile", "quality").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.percentile("n_chars", 0.5).alias("median_chars"))
 
 
 def _raters(spark, sf):
@@ -226,7 +234,7 @@ SELECT k, common, common / k AS precision, common / m AS recall, common / (n + m
     "external_only": f"""{_EXT}, items AS (SELECT item_a AS i FROM r UNION SELECT item_b FROM r)
 SELECT e.pair_key, CASE WHEN e.item_a NOT IN (SELECT i FROM items) OR e.item_b NOT IN (SELECT i FROM items) THEN 'unseen_item' WHEN s.pair_count < 10 THEN 'below_min_count' WHEN s.pair_count IS NOT NULL THEN 'below_cut' ELSE 'no_cooccurrence' END AS reason
 FROM ext e LEFT JOIN rl_stats s USING (pair_key) WHERE e.pair_key NOT IN (SELECT pair_key FROM r)""",
-    "ranking_only": f"{_EXT} SELECT pair_key, rank FROM r WHERE rank <= 20 AND pair_key NOT IN (SELECT pair_key FROM ext)",
+    "ranking_only": f"{_EXT}, b3 AS (SELECT * FROM b WHERE len(items) = 3), {_rank_sql('x3', 'b3')} SELECT pair_key, rank FROM r WHERE pair_key NOT IN (SELECT pair_key FROM x3_stats WHERE pair_count >= 20)",
     "topk_audit": f"{_EXT} SELECT k, pair_key, rank, pair_key IN (SELECT pair_key FROM ext) AS in_reference FROM r, ks WHERE rank <= k",
     "union_dedup": f"""{_PAIR_AB}, {_rank_sql('ra', 'bf')}, {_rank_sql('rb', 'bl')}, one AS (SELECT pair_key, rank FROM ra WHERE rank <= 30), two AS (SELECT pair_key, lift FROM rb WHERE rank <= 30)
 SELECT pair_key, rank, NULL::DOUBLE AS lift, 0 AS source_order FROM one UNION ALL SELECT pair_key, NULL, lift, 1 FROM two WHERE pair_key NOT IN (SELECT pair_key FROM one)""",
