@@ -74,7 +74,10 @@ def test_media_columns(spark):
     assert rows[2].media_sha256 == rows[len(TEXTS)].media_sha256 and rows[2].feature == rows[len(TEXTS)].feature
     blocks = flac.pcm_blocks(flac.encoded(df), frames=2).filter("doc_id = 3").orderBy("block").collect()
     assert [b.sample_offset for b in blocks] == [384 * i for i in range(len(blocks))]
-    assert b"".join(bytes(b.pcm) for b in blocks) == bytes(x ^ 0x80 for x in flac.payload(TEXTS[3]))
+    assert b"".join(flac.expanded(np.frombuffer(b.pcm, np.int8)) for b in blocks) == flac.payload(TEXTS[3])
+    assert flac.expanded(np.frombuffer(flac.companded(bytes(range(256))), np.uint8) ^ 0x80) == bytes(range(256))
+    again = {r.doc_id: r for r in flac.read_back(flac.stored(df)).collect()}
+    assert again == rows
     assert flac.read_back(flac.encoded(df.limit(0))).count() == 0
 
 
