@@ -175,3 +175,43 @@ def choose_min_count(lift_rows: DataFrame) -> DataFrame:
     clean = F.col("single_ratio") == 0
     order = [clean.cast("int").desc(), F.when(clean, F.col("min_count")).asc(), F.col("median_count").desc(), F.col("single_ratio").asc(), F.col("min_count").desc()]
     return g.orderBy(*order).limit(1).withColumn("reason", F.when(clean, "no single-count pair").otherwise("best median"))
+
+
+def lift_lists(df: DataFrame, min_counts: DataFrame, k: int) -> DataFrame:
+    """Per condition and least count (min_count): the k pairs of the highest lift."""
+    x = pair_statistics(condition_table(df).select("condition", "basket_id", "items"), "condition")
+    x = x.crossJoin(F.broadcast(min_counts)).filter("pair_count >= min_count")
+    return top_pairs(x, "lift", k, "condition", "min_count")
+
+
+def presence(df: DataFrame, conditions: list[Condition] = CONDITIONS) -> DataFrame:
+    """Per pair: in which conditions it occurs."""
+    x = exploded_pairs(condition_table(df, conditions), "condition")
+    return x.groupBy(*PAIR).agg(*[F.bool_or(F.col("condition") == c.name).alias(f"{c.name}_present") for c in conditions])
+
+
+def itemset_baskets(sets: DataFrame, df: DataFrame) -> DataFrame:
+    """(items, basket_id) of the baskets that hold a whole set. They meet by the set's rarest item; the rest is looked up in the row."""
+    rarest = sets.select("items", F.explode("items").alias("item")).join(item_counts(df), "item").groupBy("items").agg(F.min_by("item", F.struct("frequency", "item")).alias("item"))
+    rows = df.select("basket_id", F.col("items").alias("held"), F.explode("items").alias("item"))
+    return rows.join(rarest, "item").filter(F.size(F.array_except("items", "held")) == 0).select("items", "basket_id")
+
+
+def renamed(df: DataFrame, names: DataFrame, *keep: str) -> DataFrame:
+    """Baskets with their items under canonical names (item, canonical); items without one stay."""
+    x = df.select("basket_id", *keep, F.explode("items").alias("item")).join(names, "item", "left")
+    return x.groupBy("basket_id", *keep).agg(F.sort_array(F.collect_set(F.coalesce("canonical", "item"))).alias("items"))
+
+
+def renaming_impact(before: DataFrame, after: DataFrame, k: int = 10) -> DataFrame:
+    """One row: distinct items and pairs of both sets of baskets, and what their top k by support and by lift share."""
+    tops, out = [], None
+    for side, df in (("before", before), ("after", after)):
+        pairs = exploded_pairs(df).groupBy(*PAIR).agg(F.count("*").alias("pair_count"))
+        stats = statistics_of(pairs, items_and_total(df))
+        tops += [top_pairs(stats, score, k).select(F.lit(score).alias("score"), "pair_key", F.lit(side).alias("side")) for score in ("support", "lift")]
+        row = item_counts(df).agg(F.count("*").alias(f"items_{side}")).crossJoin(F.broadcast(pairs.agg(F.count("*").alias(f"pairs_{side}"))))
+        out = row if out is None else out.crossJoin(F.broadcast(row))
+    sides = reduce(DataFrame.unionByName, tops).groupBy("score", "pair_key").agg(F.count("*").alias("n"))
+    of = lambda s: F.try_divide(F.count_if((F.col("score") == s) & (F.col("n") == 2)), F.count_if(F.col("score") == s)).alias(f"jaccard_{s}")
+    return out.crossJoin(F.broadcast(sides.agg(of("support"), of("lift"))))

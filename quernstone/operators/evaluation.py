@@ -133,3 +133,81 @@ def union_keep_first(frames: list[DataFrame], key: str) -> DataFrame:
         f = f.withColumn("source_order", F.lit(i))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("source_order"))).filter("i = 1").drop("i")
+
+
+def review_candidates(ranking: DataFrame, lists: dict[str, str], k: int) -> DataFrame:
+    """Rows in the top k of any list (name: its rank's column), with the lists' names. A row carries all of its ranks, so one pass is enough."""
+    names = F.sort_array(F.array_compact(F.array(*[F.when(F.col(c) <= k, F.lit(n)) for n, c in lists.items()])))
+    return ranking.withColumn("ranking_source", F.array_join(names, "|")).filter("ranking_source <> ''")
+
+
+def scope_agreement(ranking: DataFrame, reference: DataFrame, key: str, scope: str) -> DataFrame:
+    """Of all rows and of each value of scope: candidates, those in the reference set, their share and keys (bounded rankings)."""
+    x = ranking.join(reference.select(key).distinct().withColumn("hit", F.lit(True)), key, "left")
+    x = x.withColumn("in_scope", F.explode(F.array(F.lit("All"), F.col(scope))))
+    listed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("hit"), F.col(key)))), " | ")
+    return x.groupBy(F.col("in_scope").alias("scope")).agg(F.count("*").alias("candidates"), F.count_if("hit").alias("common"), (F.count_if("hit") / F.count("*")).alias("common_rate"), listed.alias("common_keys"))
+
+
+def reference_statistics(reference: DataFrame, ranking: DataFrame, key: str, ks: tuple[int, ...]) -> DataFrame:
+    """One row: sizes of a reference set and a ranking, of what they share and of what only one has, and hits in each top k."""
+    a = reference.select(key).distinct().withColumn("in_reference", F.lit(True))
+    x = a.join(ranking.select(key, "rank"), key, "full").withColumns({"r": F.coalesce("in_reference", F.lit(False)), "o": F.col("rank").isNotNull()})
+    both = F.col("r") & F.col("o")
+    counts = {"reference_pairs": F.col("r"), "ranking_pairs": F.col("o"), "common_pairs": both, "reference_only": F.col("r") & ~F.col("o"), "ranking_only": F.col("o") & ~F.col("r")}
+    return x.agg(*[F.count_if(c).alias(n) for n, c in counts.items()], *[F.count_if(both & (F.col("rank") <= k)).alias(f"top{k}_common") for k in ks])
+
+
+def rank_drops(before: DataFrame, after: DataFrame, key: str, k: int, limit: int = 5, missing: int = 999) -> DataFrame:
+    """The rows of the first top k that fall furthest in the second one; a row that it lacks counts as ranked `missing`."""
+    later = after.filter(F.col("rank") <= k).select(key, F.col("rank").alias("after_rank"))
+    x = before.filter(F.col("rank") <= k).select(key, "rank").join(later, key, "left").withColumn("after_rank", F.coalesce("after_rank", F.lit(missing)))
+    return x.withColumn("rank_drop", F.col("after_rank") - F.col("rank")).orderBy(F.desc("rank_drop"), F.desc("after_rank"), "rank").limit(limit)
+
+
+def label_source(df: DataFrame, sources: list[str]) -> DataFrame:
+    """One row: the first of the columns, in order, that has any label; null if none has."""
+    filled = lambda c: F.bool_or(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "")
+    return df.agg(*[filled(c).alias(c) for c in sources]).select(F.coalesce(*[F.when(F.col(c), F.lit(c)) for c in sources]).alias("label_source"))
+
+
+def in_scopes(df: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """Each row once for each scope it is in: all, and the top k of each k by rank (null: in none of them)."""
+    return df.withColumn("scope", F.explode(F.array_compact(F.array(F.lit("all"), *[F.when(F.col("rank") <= k, F.lit(f"top_{k}")) for k in ks]))))
+
+
+def label_metrics(df: DataFrame, labels: list[str]) -> DataFrame:
+    """(scope, label, n, labelled, rate): rate is the share of 1 among labelled rows."""
+    x = df.unpivot(["scope"], [F.col(c).cast("int").alias(c) for c in labels], "label", "value")
+    return x.groupBy("scope", "label").agg(F.count("*").alias("n"), F.count("value").alias("labelled"), F.try_divide(F.count_if(F.col("value") == 1), F.count("value")).alias("rate"))
+
+
+def spearman_by(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """spearman() for each group of keys, from counted values: windows see a row for each different value, not for each row."""
+    g = df.groupBy(*keys, x, y).agg(F.count("*").alias("c"))
+    for value, name in ((x, "rx"), (y, "ry")):
+        own = g.groupBy(*keys, value).agg(F.sum("c").alias("cv"))
+        running = F.sum("cv").over(Window.partitionBy(*keys).orderBy(value))
+        g = g.join(own.select(*keys, value, (running - (F.col("cv") - 1) / 2).alias(name)), [*keys, value])
+    c, rx, ry = F.col("c"), F.col("rx"), F.col("ry")
+    n, sx, sy = F.sum(c), F.sum(c * rx), F.sum(c * ry)
+    vx, vy = n * F.sum(c * rx * rx) - sx * sx, n * F.sum(c * ry * ry) - sy * sy
+    corr = F.when((vx > 0) & (vy > 0), (n * F.sum(c * rx * ry) - sx * sy) / (F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))))
+    return g.groupBy(*keys).agg(n.alias("n"), corr.alias("spearman"))
+
+
+def feature_relation(df: DataFrame, feature: str, label: str, positive: list[str]) -> DataFrame:
+    """(scope, metric, label, n, value) of labelled rows with the feature: its mean and median where the label is positive and where it isn't,
+    Spearman's correlation with that, and the counts of feature > 0 against it, zero-filled."""
+    said = F.trim(F.coalesce(F.col(label).cast("string"), F.lit("")))
+    x = df.select("scope", F.col(feature).cast("double").alias("feature"), said.alias("said")).filter("said <> '' and feature is not null")
+    x = x.select("scope", "feature", F.col("said").isin(positive).cast("int").alias("yes"))
+    name = lambda c, yes, no: F.when(c, yes).otherwise(no)
+    yes, auto = F.col("yes") == 1, F.col("feature") > 0
+    means = x.groupBy("scope", name(yes, "manual_yes", "manual_no").alias("label")).agg(F.count("*").alias("n"), F.avg("feature").alias("feature_mean"), F.percentile("feature", 0.5).alias("feature_median"))
+    rows = means.unpivot(["scope", "label", "n"], ["feature_mean", "feature_median"], "metric", "value")
+    corr = spearman_by(x, "feature", "yes", "scope").select("scope", F.lit("manual_binary").alias("label"), "n", F.lit("spearman").alias("metric"), F.col("spearman").alias("value"))
+    cells = {f"{a}|{b}": (yes == (a == "manual_yes")) & (auto == (b == "auto_positive")) for a in ("manual_no", "manual_yes") for b in ("auto_zero", "auto_positive")}
+    counted = x.groupBy("scope").agg(F.count("*").alias("n"), *[F.count_if(c).cast("double").alias(k) for k, c in cells.items()])
+    table = counted.unpivot(["scope", "n"], list(cells), "label", "value").withColumn("metric", F.lit("crosstab"))
+    return rows.unionByName(corr).unionByName(table)

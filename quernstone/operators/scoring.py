@@ -195,3 +195,59 @@ def distributions(df: DataFrame, key: str, features: list[str]) -> DataFrame:
 
 def duplication_rate(before: str, after: str) -> Column:
     return ratio(F.col(before) - F.col(after), F.col(before))
+
+
+def setting_changes(x: DataFrame, labels: DataFrame, base: str = "baseline", k: int = 10) -> DataFrame:
+    """Per setting, from scored_by_setting() rows with tiers and labels (item_a, item_b, label): pairs of each tier, pairs that left and entered
+    the top k, the pair that moved furthest, and rates of valid and partly valid among the labelled pairs of the top 5 and 10."""
+    b = x.filter(F.col("setting") == base).select(*PAIR, F.col("setting_rank").alias("base_rank"))
+    y = x.join(b, [*PAIR]).join(labels.select(*PAIR, "label"), [*PAIR], "left")
+    ours, theirs, moved = F.col("setting_rank") <= k, F.col("base_rank") <= k, F.abs(F.col("setting_rank") - F.col("base_rank"))
+    listed = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(c, F.col("pair_key")))), " | ")
+    said = lambda n: (F.col("setting_rank") <= n) & F.col("label").isNotNull()
+    rate = lambda n, v: F.try_divide(F.count_if(said(n) & (F.col("label") == v)), F.count_if(said(n)))
+    return y.groupBy("setting").agg(
+        F.count_if(F.col("tier") == "Tier1").alias("tier1"),
+        F.count_if(F.col("tier") == "Tier2").alias("tier2"),
+        listed(theirs & ~ours).alias("dropped"),
+        listed(ours & ~theirs).alias("entered"),
+        F.min_by("pair_key", F.struct(-moved, F.col("pair_key"))).alias("max_shift_pair"),
+        *[rate(n, v).alias(f"top{n}_{v}_rate") for n in (5, 10) for v in ("valid", "partially_valid")],
+    )
+
+
+def grid_stability(x: DataFrame, base: str, k: int = 20) -> DataFrame:
+    """Per setting, from thresholds() rows: retained pairs, tiers, and how its ranking agrees with the base setting's: Spearman over the pairs
+    of both, ranked anew among them, and Jaccard of the top k."""
+    b = x.filter(F.col("setting") == base).select(*PAIR, F.col("setting_rank").alias("base_rank"))
+    y = x.join(b, [*PAIR], "left").withColumn("shared", F.col("base_rank").isNotNull())
+    anew = lambda r: F.row_number().over(Window.partitionBy("setting", "shared").orderBy(r))
+    y = y.withColumn("d", (anew("setting_rank") - anew("base_rank")).cast("double"))
+    n, ours, theirs = F.count_if("shared"), F.col("setting_rank") <= k, F.col("base_rank") <= k
+    total = b.agg(F.count_if(theirs).alias("base_top"))
+    g = y.groupBy("setting").agg(
+        F.count("*").alias("retained"),
+        F.count_if(F.col("tier") == "Tier1").alias("tier1"),
+        F.count_if(F.col("tier") == "Tier2").alias("tier2"),
+        n.alias("common"),
+        (1 - F.try_divide(6 * F.sum(F.when(F.col("shared"), F.col("d") * F.col("d"))), (n * n * n - n).cast("double"))).alias("spearman"),
+        F.count_if(ours & theirs).alias("common_topk"),
+        F.count_if(ours).alias("own_top"),
+    )
+    g = g.crossJoin(F.broadcast(total)).withColumn("jaccard_topk", F.try_divide(F.col("common_topk"), F.col("own_top") + F.col("base_top") - F.col("common_topk")))
+    return g.drop("own_top", "base_top")
+
+
+def tier_differences(summary: DataFrame, one: str = "Tier1", two: str = "Tier2") -> DataFrame:
+    """Per feature of distributions(): the first tier's mean and median less the second's."""
+    side = lambda v, s: summary.filter(F.col("tier") == v).select("feature", F.col("mean").alias(f"mean_{s}"), F.col("median").alias(f"median_{s}"))
+    x = side(one, "one").join(side(two, "two"), "feature")
+    return x.select("feature", *[(F.col(f"{m}_one") - F.col(f"{m}_two")).alias(f"{m}_difference") for m in ("mean", "median")])
+
+
+def ranking_metadata(df: DataFrame, key: str, rank: str, values: list[str]) -> DataFrame:
+    """(metric, value): rows, different keys, ends of the rank and of each value, and as 0 or 1 whether ranks are 1 to n without ties."""
+    n, d = F.count("*").cast("double"), lambda c: c.cast("double")
+    whole = (F.countDistinct(rank) == F.count("*")) & (F.min(rank) == 1) & (F.max(rank) == F.count("*"))
+    cols = {"rows": n, "distinct_keys": d(F.countDistinct(key)), "ranks_whole": d(whole.cast("int"))} | {f"{v}_{e}": d(f(v)) for v in (rank, *values) for e, f in (("min", F.min), ("max", F.max))}
+    return df.agg(*[c.alias(m) for m, c in cols.items()]).unpivot([], list(cols), "metric", "value")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import association, documents, evaluation
+from . import association, documents, evaluation, studies, text_chain
 
-_MODULES = [association, evaluation, documents]
+_MODULES = [association, evaluation, documents, studies, text_chain]
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

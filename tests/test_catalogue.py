@@ -15,7 +15,7 @@ from quernstone.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(__file__).parent.parent
-CHECKED = ["pair_stats_limited", "condition_stats", "itemsets_k3", "multiway_lift", "ranking_v1", "tier_split", "sensitivity_21", "threshold_grid_36", "tier_distribution", "ranking_compare_ab", "rank_corr_spearman", "external_only", "crosstab_tertile", "cohen_kappa", "density_components", "sentence_split", "sentence_pairs", "contamination_hits", "length_outliers", "alias_components", "era_compare", "metadata_inconsistency"]
+CHECKED = ["pair_stats_limited", "condition_stats", "itemsets_k3", "multiway_lift", "ranking_v1", "tier_split", "sensitivity_21", "threshold_grid_36", "tier_distribution", "ranking_compare_ab", "rank_corr_spearman", "external_only", "crosstab_tertile", "cohen_kappa", "density_components", "sentence_split", "sentence_pairs", "contamination_hits", "length_outliers", "alias_components", "era_compare", "metadata_inconsistency", "condition_lift_lists", "itemset_contexts", "raw_vs_normalised", "rank_drops", "grid_stability", "ranking_metadata", "feature_relation", "label_source", "sentence_lexicon", "pair_evidence", "pair_review_flags"]
 
 
 def plain(v):
