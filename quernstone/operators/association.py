@@ -128,18 +128,32 @@ def at_least_quantile(df: DataFrame, column: str, q: float) -> DataFrame:
     return df.crossJoin(F.broadcast(cut)).filter(F.col(column) >= F.col("cut")).drop("cut")
 
 
-def itemsets(df: DataFrame, k: int, min_count: int) -> DataFrame:
-    """(items, n) of k-itemsets in at least min_count baskets, level by level: a set is only extended if it is frequent itself."""
+def _itemset_rows(df: DataFrame, k: int, min_count: int) -> DataFrame:
+    """(basket_id, set) of the k-itemsets that a basket holds, without most of those in fewer than min_count baskets.
+
+    Baskets keep their common items alone. A set is grown inside the row that holds the rest of its basket, and only if it is frequent itself
+    among the baskets that have enough left to fill it up to k."""
     base = df.filter(F.size("items") >= k).select("basket_id", "items")
     common = item_counts(base).filter(F.col("frequency") >= min_count).select("item")
     rows = base.select("basket_id", F.explode("items").alias("item")).join(common, "item", "left_semi")
-    sets = rows.select("basket_id", F.array("item").alias("set"))
-    for size in range(2, k + 1):
-        grown = sets.join(rows, "basket_id").filter(F.element_at("set", -1) < F.col("item")).select("basket_id", F.concat("set", F.array("item")).alias("set"))
-        if size < k:
+    if k == 1:
+        return rows.select("basket_id", F.array("item").alias("set"))
+    held = rows.filter(F.col("basket_id").isNotNull()).groupBy("basket_id").agg(F.sort_array(F.collect_set("item")).alias("rest")).filter(F.size("rest") >= k)
+    sets = held.select("basket_id", F.array().cast("array<string>").alias("set"), "rest")
+    for size in range(1, k + 1):
+        more = F.transform("rest", lambda x, i: F.struct(F.concat(F.col("set"), F.array(x)).alias("set"), F.slice(F.col("rest"), i + 2, F.size("rest")).alias("rest")))
+        fit = F.slice(more, 1, F.size("rest") - (k - size))
+        grown = sets.select("basket_id", F.explode(fit).alias("g")).select("basket_id", "g.set", "g.rest")
+        if 1 < size < k:
             frequent = grown.groupBy("set").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).select("set")
             grown = grown.join(frequent, "set", "left_semi")
         sets = grown
+    return sets.select("basket_id", "set")
+
+
+def itemsets(df: DataFrame, k: int, min_count: int) -> DataFrame:
+    """(items, n) of k-itemsets in at least min_count baskets."""
+    sets = _itemset_rows(df, k, min_count)
     return sets.groupBy(F.col("set").alias("items")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 
@@ -190,11 +204,12 @@ def presence(df: DataFrame, conditions: list[Condition] = CONDITIONS) -> DataFra
     return x.groupBy(*PAIR).agg(*[F.bool_or(F.col("condition") == c.name).alias(f"{c.name}_present") for c in conditions])
 
 
-def itemset_baskets(sets: DataFrame, df: DataFrame) -> DataFrame:
-    """(items, basket_id) of the baskets that hold a whole set. They meet by the set's rarest item; the rest is looked up in the row."""
-    rarest = sets.select("items", F.explode("items").alias("item")).join(item_counts(df), "item").groupBy("items").agg(F.min_by("item", F.struct("frequency", "item")).alias("item"))
-    rows = df.select("basket_id", F.col("items").alias("held"), F.explode("items").alias("item"))
-    return rows.join(rarest, "item").filter(F.size(F.array_except("items", "held")) == 0).select("items", "basket_id")
+def itemset_baskets(df: DataFrame, k: int, min_count: int) -> DataFrame:
+    """(items, basket_id) of the baskets that hold a whole k-itemset found in at least min_count baskets: the rows that were counted, so that no
+    set meets a basket without it."""
+    sets = _itemset_rows(df, k, min_count)
+    kept = sets.groupBy("set").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    return sets.join(kept, "set", "left_semi").select(F.col("set").alias("items"), "basket_id")
 
 
 def renamed(df: DataFrame, names: DataFrame, *keep: str) -> DataFrame:

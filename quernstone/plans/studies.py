@@ -42,7 +42,7 @@ def pair_presence(spark, sf):
 def itemset_contexts(spark, sf):
     """Orders that hold the brands of a 4-set found in at least two orders of up to five brands."""
     b = written(limited(spark, sf), "baskets")
-    return a.itemset_baskets(a.itemsets(b, 4, 2), b).select(F.array_join("items", "|").alias("items"), "basket_id")
+    return a.itemset_baskets(b, 4, 2).select(F.array_join("items", "|").alias("items"), "basket_id")
 
 
 def _brand_groups(spark, sf):

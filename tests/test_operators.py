@@ -35,6 +35,17 @@ def test_itemsets_match_brute_force(spark):
         assert {tuple(r["items"]): r["n"] for r in a.itemsets(baskets(spark, rows), n, 2).collect()} == want
 
 
+def test_baskets_of_itemsets_come_from_their_own_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = ["".join(rng.choice(list("ABCDEFG"), int(rng.integers(0, 7)), replace=False)) for _ in range(60)] + ["AXYZ"]
+    for n in (2, 4):
+        want = sorted((c, i) for c in itertools.combinations("ABCDEFGXYZ", n) for i, r in enumerate(rows) if set(c) <= set(r) and sum(set(c) <= set(x) for x in rows) >= 2)
+        got = a.itemset_baskets(baskets(spark, rows), n, 2)
+        assert sorted((tuple(r["items"]), r.basket_id) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join Inner" not in plan  # no set is paired with baskets that only share an item with it
+
+
 def test_names_break_ties(spark):
     df = spark.createDataFrame([("A", "C", 2, 1.0, 0.5), ("A", "B", 2, 1.0, 0.5)], "item_a string, item_b string, pair_count long, lift double, support double")
     assert a.stable_rank(df, "support", "r").orderBy("r").first().item_b == "B"
