@@ -22,6 +22,9 @@ from . import text as t
 
 
 def fold(text: str) -> str:
+    """Upper case, by character where it would be longer than the text: no character's upper case is shorter than one."""
+    if len(whole := text.upper()) == len(text):
+        return whole
     return "".join(u if len(u := c.upper()) == 1 else c for c in text)
 
 
@@ -86,6 +89,8 @@ class Dictionary:
         if not text:
             return []
         hits = [(self.rank[p], a, a + len(p), p) for a, p in occurrences(self.machine, fold(text))]
+        if not hits:
+            return []
         found, covered = set(), bytearray(len(text))
         for _, a, b, p in sorted(hits):
             if 1 not in covered[a:b] and self.stands_alone(text, a, b):
@@ -95,11 +100,13 @@ class Dictionary:
 
 
 def extractor(d: Dictionary):
+    """Marked as not deterministic, though it is: else the optimizer moves a filter on the names below it and has them looked for twice."""
+
     @F.pandas_udf(ArrayType(StringType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(d.extract)
 
-    return run
+    return run.asNondeterministic()
 
 
 def plain_key(text: str | None) -> str:
@@ -229,11 +236,13 @@ LEXICON_TYPE = StructType([StructField("matched", ArrayType(StringType())), Stru
 
 
 def analyser(lexicon: Lexicon):
+    """Marked as extractor() is: what is said in a sentence is looked for once."""
+
     @F.pandas_udf(LEXICON_TYPE)
     def run(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([lexicon.analyse(x) for x in s], columns=["matched", "negated", "has_positive", "has_negative"])
 
-    return run
+    return run.asNondeterministic()
 
 
 def matched_context(text: str | None, a: str, b: str, limit: int = 300) -> str:

@@ -15,14 +15,24 @@ from .association import PAIR, item_pairs, pair_key
 FLAGS = ("has_positive", "has_negative", "has_role", "has_explicit_mix", "is_template")
 
 
-def sentence_table(docs: DataFrame, extract, analyse, templates: tuple[list[str], list[str]], roles: tuple[list[str], list[str]], text_col: str = "text", marks: str = "。！？!?") -> DataFrame:
-    """(doc_id, sentence_index, sentence, items, matched, negated, flags) of each sentence with an item."""
-    s = docs.select("doc_id", F.posexplode(t.sentences(F.col(text_col), marks)).alias("sentence_index", "sentence"))
-    s = s.withColumn("items", extract("sentence")).filter(F.size("items") > 0).withColumn("a", analyse("sentence"))
+def named_sentences(docs: DataFrame, extract, text_col: str = "text", marks: str = "。！？!?", *keep: str) -> DataFrame:
+    """(doc_id, keep, sentence_index, sentence, items) of each sentence, and one row without a sentence for a text that has none."""
+    s = docs.select("doc_id", *keep, F.posexplode_outer(t.sentences(F.col(text_col), marks)).alias("sentence_index", "sentence"))
+    return s.withColumn("items", extract("sentence"))
+
+
+def described(s: DataFrame, analyse, templates: tuple[list[str], list[str]], roles: tuple[list[str], list[str]]) -> DataFrame:
+    """Those of named_sentences() with an item, and what they say."""
+    s = s.filter(F.size("items") > 0).withColumn("a", analyse("sentence"))
     role = t.role_rule(F.col("sentence"), *roles)
     return s.select("doc_id", "sentence_index", "sentence", "items", "a.matched", "a.negated", "a.has_positive", "a.has_negative", role.alias("role_rule"), (role != "").alias("has_role"), t.template_hit(F.col("sentence"), *templates).isNotNull().alias("is_template"))
 
 
+def sentence_table(docs: DataFrame, extract, analyse, templates: tuple[list[str], list[str]], roles: tuple[list[str], list[str]], text_col: str = "text", marks: str = "。！？!?") -> DataFrame:
+    """(doc_id, sentence_index, sentence, items, matched, negated, flags) of each sentence with an item."""
+    return described(named_sentences(docs, extract, text_col, marks), analyse, templates, roles)
+
+
 def evidence_rows(docs: DataFrame, sentences: DataFrame, pairs: DataFrame) -> DataFrame:
     """A row for each pair, document and sentence that has both items or, if the document has no such sentence, either.
 

@@ -18,6 +18,7 @@ NAMES = ["for", "for the", "from", "this", "was", "with"]
 LEXICON = x.Lexicon({"time": ["then", "was"], "place": ["here"]}, positive=["ble", "tion"], negative=["worthless", "pathetic"])
 TEMPLATES = ["^Licensed under "], ["All rights reserved"]
 ROLES = ["by", "on"], ["ly"]
+MARKS = ".!?"
 LEAST = 5
 
 
@@ -25,54 +26,65 @@ def _dictionary() -> x.Dictionary:
     return x.Dictionary([(n, n) for n in NAMES], boundary="word")
 
 
-def _named(spark, sf) -> DataFrame:
-    """(doc_id, items, title_items, summary_items): names in the text, in its first sentence and in its second."""
-    find, parts = x.extractor(_dictionary()), t.sentences(F.col("text"), ".!?")
-    own = lambda i: find(F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
-    return written(table(spark, sf, "documents").select("doc_id", find("text").alias("items"), own(0).alias("title_items"), own(1).alias("summary_items")), "named")
+def _found(spark, sf) -> DataFrame:
+    """(doc_id, row, sentence_index, sentence, items): the sentences with a name, and each text's first. row: the text's own number.
+
+    Python gets sentences, not texts, so that a batch of rows is small whatever the texts' lengths; each is sent once."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    s = e.named_sentences(docs, x.extractor(_dictionary()), "text", MARKS, "row")
+    return s.filter((F.size("items") > 0) | (F.coalesce("sentence_index", F.lit(0)) == 0))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """(doc_id, items, title_items, summary_items): names in the text, in its first sentence and in its second. A text's names are those of its
+    sentences, since no name holds an end mark or a line's end, or begins or ends with a blank."""
+    own = lambda i: F.flatten(F.collect_list(F.when(F.col("sentence_index") == i, F.col("items"))))
+    n = found.groupBy("row", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), own(0).alias("title_items"), own(1).alias("summary_items"))
+    return n.drop("row")
 
 
 def _pairs(named: DataFrame) -> DataFrame:
     return a.exploded_pairs(named).groupBy(*a.PAIR).agg(F.count("*").alias("pair_count")).filter(F.col("pair_count") >= LEAST)
 
 
-def _rows(spark, sf, named: DataFrame, pairs: DataFrame) -> DataFrame:
-    s = e.sentence_table(table(spark, sf, "documents"), x.extractor(_dictionary()), x.analyser(LEXICON), TEMPLATES, ROLES, marks=".!?")
-    return e.evidence_rows(named, written(s, "sentences"), pairs)
+def _chain(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """_named() and the sentences with a name, of one pass over the texts."""
+    found = written(_found(spark, sf), "sentences")
+    return written(_named(found), "named"), e.described(found, x.analyser(LEXICON), TEMPLATES, ROLES)
 
 
 def dictionary_items(spark, sf):
-    return _named(spark, sf).filter(F.size("items") > 0).select("doc_id", F.array_join("items", "|").alias("items"), F.size("items").alias("n_items"))
+    return _named(_found(spark, sf)).filter(F.size("items") > 0).select("doc_id", F.array_join("items", "|").alias("items"), F.size("items").alias("n_items"))
 
 
 def sentence_lexicon(spark, sf):
     """Sentences with a name, by what they say: counts of sentences and documents."""
-    s = e.sentence_table(table(spark, sf, "documents"), x.extractor(_dictionary()), x.analyser(LEXICON), TEMPLATES, ROLES, marks=".!?")
+    s = e.sentence_table(table(spark, sf, "documents"), x.extractor(_dictionary()), x.analyser(LEXICON), TEMPLATES, ROLES, marks=MARKS)
     keys = [F.array_join(F.array_distinct("matched"), "|").alias("matched"), "has_positive", "has_negative", "role_rule", "is_template"]
     return s.groupBy(*keys).agg(F.count("*").alias("n_sentences"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def pair_evidence(spark, sf):
-    named = _named(spark, sf)
+    named, sentences = _chain(spark, sf)
     pairs = written(_pairs(named), "pairs")
-    return e.pair_features(_rows(spark, sf, named, pairs), pairs)
+    return e.pair_features(e.evidence_rows(named, sentences, pairs), pairs)
 
 
 def pair_review_flags(spark, sf):
-    named = _named(spark, sf)
+    named, sentences = _chain(spark, sf)
     pairs = written(_pairs(named), "pairs")
-    return e.pair_flags(named, _rows(spark, sf, named, pairs), pairs)
+    return e.pair_flags(named, e.evidence_rows(named, sentences, pairs), pairs)
 
 
 def evidence_deduplicated(spark, sf):
     """Rows of evidence without repeated sentences, counted by pair."""
-    named = _named(spark, sf)
-    d = e.deduplicated(_rows(spark, sf, named, _pairs(named)))
+    named, sentences = _chain(spark, sf)
+    d = e.deduplicated(e.evidence_rows(named, sentences, _pairs(named)))
     return d.groupBy(*a.PAIR).agg(F.count("*").alias("n_rows"), F.count_if("same_sentence").alias("n_same"), F.count_if("has_role").alias("n_role"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def dictionary_coverage(spark, sf):
-    n = _named(spark, sf).withColumn("found", F.explode_outer("items"))
+    n = _named(_found(spark, sf)).withColumn("found", F.explode_outer("items"))
     x_ = n.agg(F.countDistinct("found").alias("names_found"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct(F.when(F.col("found").isNotNull(), F.col("doc_id"))).alias("docs_with_name"), F.count("found").alias("mentions"))
     return x_.select(F.lit(len(NAMES)).cast("long").alias("n_names"), "names_found", "n_docs", "docs_with_name", (F.col("docs_with_name") / F.col("n_docs")).alias("share"), (F.col("mentions") / F.col("n_docs")).alias("mean_names"))
 

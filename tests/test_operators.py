@@ -168,6 +168,27 @@ def test_explicit_mixes_and_templates(spark):
     assert (r.evidence_docs, r.template_rows) == (0, 1)
 
 
+def test_names_are_looked_for_once_and_in_sentences(spark, tmp_path):
+    from quernstone.plans import text_chain
+
+    texts = ["For. the was\nfrom this? with", "x for the was for.this", None, "", "...", "waſ forma"] + ["was with " * 50_000 + "."]
+    docs = spark.createDataFrame([(i % 5, v) for i, v in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = text_chain._found(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [run(sentence#") == plan.count("ArrowEvalPython") == 1
+    d = text_chain._dictionary()
+    assert sorted(r["items"] for r in text_chain._named(found).collect()) == sorted(d.extract(v) for v in texts)
+    assert not any(set(n) & set(text_chain.MARKS + "\r\n") or n != n.strip() for n in text_chain.NAMES)
+    s = evidence.sentence_table(docs, extract.extractor(d), extract.analyser(text_chain.LEXICON), text_chain.TEMPLATES, text_chain.ROLES, marks=text_chain.MARKS)
+    assert s._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2
+
+
+def test_fold_keeps_the_length():
+    for v in ("", "abc", "straße", "ﬁn", "ſıŉ", "ΐx", "グレープ a"):
+        assert extract.fold(v) == "".join(u if len(u := c.upper()) == 1 else c for c in v)
+
+
 def test_external_statuses(spark):
     articles = spark.createDataFrame([("A1", "ミント"), ("A2", " ")], "article_id string, target_raw string")
     cells = [("A1", 0, 0, 0, "名前", True), ("A1", 0, 1, 0, "レモン/ライム", True), ("A1", 0, 2, 0, "パイン", True), ("A1", 0, 3, 0, "ミント", True), ("A1", 0, 4, 0, "", True), ("A1", 0, 5, 0, "×", True), ("A1", 0, 6, 0, "レモン", True), ("A1", 1, 0, 0, "h", False), ("A1", 1, 1, 0, "バニラ", False), ("A2", 0, 0, 0, "h", True), ("A2", 0, 1, 0, "バニラ", True)]
