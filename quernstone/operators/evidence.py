@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .association import PAIR, item_pairs, pair_key
+from .association import PAIR, exploded_pairs, item_pairs, pair_key
 
 FLAGS = ("has_positive", "has_negative", "has_role", "has_explicit_mix", "is_template")
 
@@ -38,11 +38,10 @@ def evidence_rows(docs: DataFrame, sentences: DataFrame, pairs: DataFrame) -> Da
 
     docs: (doc_id, items); pairs: the retained (item_a, item_b)."""
     own = docs.filter(F.size("items") >= 2).select("doc_id", F.explode(item_pairs()).alias("p")).select("doc_id", "p.*").join(pairs.select(*PAIR), [*PAIR], "left_semi")
-    x = own.join(sentences, "doc_id")
+    together = exploded_pairs(sentences, "doc_id").distinct().withColumn("doc_has_same", F.lit(True))
+    x = own.join(together, ["doc_id", *PAIR], "left").fillna(False, ["doc_has_same"]).join(sentences, "doc_id")
     a, b = F.array_contains("items", F.col("item_a")), F.array_contains("items", F.col("item_b"))
-    x = x.filter(a | b).withColumn("same_sentence", a & b)
-    any_same = F.max(F.col("same_sentence").cast("int")).over(Window.partitionBy("doc_id", *PAIR)) == 1
-    x = x.withColumn("doc_has_same", any_same).filter(F.col("same_sentence") | ~F.col("doc_has_same"))
+    x = x.filter(F.when(F.col("doc_has_same"), a & b).otherwise(a | b)).withColumn("same_sentence", F.col("doc_has_same"))
     mix = t.explicit_mix(F.col("sentence"), F.col("item_a"), F.col("item_b"))
     return x.withColumn("explicit_text", mix).withColumn("has_explicit_mix", F.col("same_sentence") & mix.isNotNull()).withColumn("pair_key", pair_key())
 

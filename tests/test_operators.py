@@ -156,6 +156,12 @@ def test_only_sentences_with_both_are_evidence(spark):
     assert (r.evidence_docs, r.same_has_positive_docs, r.doc_has_positive_docs) == (0, 0, 1)
 
 
+def test_sentences_are_not_sorted_by_pair(spark):
+    _, rows, _ = evidence_of(spark, "グレープは美味しい。グレープとミントは爽やか。ミントは苦手。")
+    assert [(r.sentence_index, r.same_sentence) for r in rows.collect()] == [(1, True)]
+    assert "Window" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_explicit_mixes_and_templates(spark):
     docs, rows, pairs = evidence_of(spark, "グレープとミントをミックスすると爽やかです。グレープとミントをミックスすると爽やかです。")
     r = evidence.pair_features(rows, pairs).first()
